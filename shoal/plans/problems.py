@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shoal.operators.loglines import log_entries
+from shoal.operators.stamps import resolve_stamps, source_mixtures, stamp_readings
+from shoal.operators.units import common_units, reading_units, readings
+from shoal.session import materialized
 from shoal.streaming.redelivery import find_redeliveries
 
 
@@ -30,5 +35,55 @@ SELECT row_id FROM (
   FROM rr_train WHERE user_id IS NOT NULL AND "timestamp" IS NOT NULL) WHERE rn > 1
 """
 
-QUERIES = {"p1_found": p1_found}
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Level, component and message of each undamaged log entry."""
+    return log_entries(_table(spark, d, "bg_train")).filter("ok").select("line_id", "level", "component", "message")
+
+
+def p2_unparsed(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that fit no layout, with the span that no rule explains."""
+    return log_entries(_table(spark, d, "bg_train")).filter("NOT ok").select("line_id", "stream", "line_no", "unparsed")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Temperature and pressure of each undamaged entry in tenths of a degree Celsius and of a kPa."""
+    read = materialized(readings(log_entries(_table(spark, d, "bg_train")).filter("ok")), "readings")
+    return common_units(read, reading_units(read, _table(spark, d, "streams")))
+
+
+def p5_units(spark: SparkSession, d: str) -> DataFrame:
+    """The unit found for each stream's numbers without one, its log residual, and whether it is unique."""
+    read = materialized(readings(log_entries(_table(spark, d, "bg_train")).filter("ok")), "readings")
+    return reading_units(read, _table(spark, d, "streams")).filter("residual IS NOT NULL").withColumn("residual", F.round("residual", 6))
+
+
+def _stamps(spark: SparkSession, d: str) -> DataFrame:
+    entries = log_entries(_table(spark, d, "bg_train")).filter("ok")
+    read = materialized(stamp_readings(entries, _table(spark, d, "streams"), _table(spark, d, "sites")), "stamps")
+    return resolve_stamps(read, source_mixtures(read))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The UTC instant of each undamaged entry whose instant can be told."""
+    return _stamps(spark, d).filter("utc_ms IS NOT NULL").select("line_id", "utc_ms")
+
+
+def p7_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    """Stamps of which two readings stay about equally likely."""
+    return _stamps(spark, d).filter("unresolved").select("line_id", F.round("posterior", 6).alias("posterior"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_unparsed": p2_unparsed,
+    "p5_found": p5_found,
+    "p5_units": p5_units,
+    "p7_found": p7_found,
+    "p7_unresolved": p7_unresolved,
+}
 SQL = {"p1_found": P1_SQL}

@@ -58,3 +58,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialized(df: DataFrame, what: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back: for results that several branches need."""
+    at = scratch_path(df.sparkSession, what)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
