@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoal.operators.intervals import downtimes, merge_intervals
 from shoal.operators.loglines import log_entries
+from shoal.operators.spikes import implausible_readings
 from shoal.operators.stamps import resolve_stamps, source_mixtures, stamp_readings
 from shoal.operators.units import common_units, reading_units, readings
 from shoal.session import materialized
@@ -49,6 +51,12 @@ def p2_unparsed(spark: SparkSession, d: str) -> DataFrame:
     return log_entries(_table(spark, d, "bg_train")).filter("NOT ok").select("line_id", "stream", "line_no", "unparsed")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Impossible, stuck and spiking readings of each pump."""
+    periods = merge_intervals(downtimes(_table(spark, d, "failure_log")), "pump_id", "start_s", "end_s").filter("kind = 'down'")
+    return implausible_readings(_table(spark, d, "sensor_readings"), periods)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Temperature and pressure of each undamaged entry in tenths of a degree Celsius and of a kPa."""
     read = materialized(readings(log_entries(_table(spark, d, "bg_train")).filter("ok")), "readings")
@@ -61,6 +69,25 @@ def p5_units(spark: SparkSession, d: str) -> DataFrame:
     return reading_units(read, _table(spark, d, "streams")).filter("residual IS NOT NULL").withColumn("residual", F.round("residual", 6))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous downtimes of each pump and the gaps between them."""
+    return merge_intervals(downtimes(_table(spark, d, "failure_log")), "pump_id", "start_s", "end_s")
+
+
+P6_SQL = """
+WITH iv AS (
+  SELECT pump_id, CAST(epoch(failure_time) AS BIGINT) AS s,
+         CAST(epoch(failure_time) AS BIGINT) + CAST(downtime_hours AS BIGINT) * 3600 AS t
+  FROM failure_log WHERE pump_id IS NOT NULL AND failure_time IS NOT NULL AND downtime_hours > 0),
+m AS (SELECT *, max(t) OVER (PARTITION BY pump_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY pump_id ORDER BY s, t) AS grp FROM m),
+p AS (SELECT pump_id, grp, min(s) AS start_s, max(t) AS end_s FROM g GROUP BY pump_id, grp)
+SELECT pump_id, 'down' AS kind, start_s, end_s FROM p
+UNION ALL
+SELECT pump_id, 'gap', end_s, nxt FROM (SELECT *, lead(start_s) OVER (PARTITION BY pump_id ORDER BY start_s) AS nxt FROM p) WHERE nxt IS NOT NULL
+"""
+
+
 def _stamps(spark: SparkSession, d: str) -> DataFrame:
     entries = log_entries(_table(spark, d, "bg_train")).filter("ok")
     read = materialized(stamp_readings(entries, _table(spark, d, "streams"), _table(spark, d, "sites")), "stamps")
@@ -81,9 +108,11 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_unparsed": p2_unparsed,
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_units": p5_units,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_unresolved": p7_unresolved,
 }
-SQL = {"p1_found": P1_SQL}
+SQL = {"p1_found": P1_SQL, "p6_found": P6_SQL}
