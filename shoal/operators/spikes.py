@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoal.session import materialized
+
 BLOCK_HOURS = 8192
 HALO_HOURS = 240
 OUTAGE = -999.0
@@ -213,8 +215,8 @@ def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float =
     judged = (
         placed.groupBy("pump_id", "block").cogroup(down.groupBy("pump_id", "block")).applyInPandas(_judge, _JUDGED)
     )
-    # one exchange serves the fit and the verdict
-    judged = judged.repartition("channel", "pump_id")
+    # the fit and the verdict read it: written once, a row a channel and block
+    judged = materialized(judged, "judged")
     total = [F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(BINS)]
     arr = F.array(*[f"h{i}" for i in range(BINS)])
     by_source = judged.groupBy("channel", "pump_id").agg(*total).select("channel", "pump_id", arr.alias("hist"))
