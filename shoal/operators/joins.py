@@ -67,7 +67,8 @@ def greedy_match(left: DataFrame, right: DataFrame, stratum: str, key: str, feat
 
     def prepared(df: DataFrame) -> DataFrame:
         d = df.filter(ok).crossJoin(F.broadcast(scale))
-        return d.select(stratum, key, *[(F.col(f) / F.col(f"_s_{f}")).alias(f) for f in features])
+        # new names for old columns, so that a table can be matched with itself
+        return d.select(F.col(stratum).alias(stratum), F.col(key).alias(key), *[(F.col(f) / F.col(f"_s_{f}")).alias(f) for f in features])
 
     kind = left.schema[key].dataType.simpleString()
     strat = left.schema[stratum].dataType.simpleString()

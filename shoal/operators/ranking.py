@@ -32,10 +32,10 @@ def diverse_top_k(candidates: DataFrame, similar: DataFrame, request: str, item:
     """
     c = candidates.filter((F.col("score") > 0) & F.col(request).isNotNull() & F.col(item).isNotNull()).select(request, item, "score", "support")
     near = (
-        c.select(request, F.col(item).alias("item_a"))
+        c.select(F.col(request).alias(request), F.col(item).alias("item_a"))
         .join(similar.select("item_a", "item_b", "cosine"), "item_a")
-        .join(c.select(request, F.col(item).alias("item_b")), [request, "item_b"])
-        .select(request, "item_a", "item_b", "cosine")
+        .join(c.select(F.col(request).alias("_r"), F.col(item).alias("_i")), (F.col(request) == F.col("_r")) & (F.col("item_b") == F.col("_i")))
+        .select(F.col("_r"), "item_a", "item_b", "cosine")
     )
     req, it = c.schema[request].dataType.simpleString(), c.schema[item].dataType.simpleString()
 
@@ -57,4 +57,4 @@ def diverse_top_k(candidates: DataFrame, similar: DataFrame, request: str, item:
             out.append((key[0], p + 1, a[item].iloc[j]))
         return pd.DataFrame(out, columns=names)
 
-    return c.groupBy(request).cogroup(near.groupBy(request)).applyInPandas(pick, f"{request} {req}, position int, {item} {it}")
+    return c.groupBy(request).cogroup(near.groupBy("_r")).applyInPandas(pick, f"{request} {req}, position int, {item} {it}")

@@ -52,11 +52,11 @@ def rolling_statistics(spark: SparkSession, d: str) -> DataFrame:
     first_value(v IGNORE NULLS) OVER (PARTITION BY pump_id ORDER BY ts, reading_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM r),
     w AS (SELECT reading_id, v, lag(v, 48) OVER o AS l48, count(v) OVER f6 AS n6, avg(v) OVER f6 AS m6, count(v) OVER f48 AS n48, avg(v) OVER f48 AS m48, count(v) OVER f168 AS n168, quantile_cont(v, 0.5) OVER f168 AS md FROM q
     WINDOW o AS (PARTITION BY pump_id ORDER BY ts, reading_id), f6 AS (PARTITION BY pump_id ORDER BY ts, reading_id ROWS 5 PRECEDING), f48 AS (PARTITION BY pump_id ORDER BY ts, reading_id ROWS 47 PRECEDING), f168 AS (PARTITION BY pump_id ORDER BY ts, reading_id ROWS 167 PRECEDING))
-    SELECT reading_id, round(v - l48, 5) AS diff48, round(v / (abs(CASE WHEN n168 >= 24 THEN md END) + 1e-3), 5) AS rel168, round(CASE WHEN n6 >= 2 THEN m6 END - CASE WHEN n48 >= 12 THEN m48 END, 5) AS trend FROM w""",
+    SELECT reading_id, round(v - l48, 5) AS diff48, round(v / (abs(CASE WHEN n168 >= 24 THEN md END) + 1e-3), 5) AS rel168, round(CASE WHEN n6 >= 2 THEN m6 END - CASE WHEN n48 >= 12 THEN m48 END, 8) AS trend FROM w""",
 )
 def sensor_features(spark: SparkSession, d: str) -> DataFrame:
     f = sensor_block(_readings(spark, d).drop("b"), "pump_id", "timestamp", "reading_id", ["v"], MONTH)
-    return f.select("reading_id", F.round("v_diff48", 5).alias("diff48"), F.round("v_rel168", 5).alias("rel168"), F.round("v_trend", 5).alias("trend"))
+    return f.select("reading_id", F.round("v_diff48", 5).alias("diff48"), F.round("v_rel168", 5).alias("rel168"), F.round("v_trend", 8).alias("trend"))
 
 
 @query(
