@@ -12,8 +12,6 @@ blocks of hours, each with enough hours of its neighbours to judge its own readi
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,6 +74,15 @@ def gpd_cutoff(hist: np.ndarray, pooled: np.ndarray, risk: float, tail: float =
     return w * level(own) + (1 - w) * level(all_)
 
 
+def _row_median(w: np.ndarray) -> np.ndarray:
+    """Median of each row without its nans; nan for rows of nothing else. Sorting puts nans last."""
+    n = (~np.isnan(w)).sum(axis=1)
+    s = np.sort(w, axis=1)
+    r = np.arange(len(w))
+    m = (s[r, np.maximum((n - 1) // 2, 0)] + s[r, np.minimum(n // 2, w.shape[1] - 1)]) / 2
+    return np.where(n > 0, m, np.nan)
+
+
 def _sides(y: np.ndarray, seg: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Median of up to SIDE readings before and after each, within its running segment."""
     n = len(y)
@@ -83,31 +90,26 @@ def _sides(y: np.ndarray, seg: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray
     pad = np.full(SIDE, np.nan)
     win = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, z, pad]), SIDE)
     segs = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(SIDE, -1), seg, np.full(SIDE, -1)]), SIDE)
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        before = np.nanmedian(np.where(segs[:n] == seg[:, None], win[:n], np.nan), axis=1)
-        after = np.nanmedian(np.where(segs[SIDE + 1 : SIDE + 1 + n] == seg[:, None], win[SIDE + 1 : SIDE + 1 + n], np.nan), axis=1)
+    before = _row_median(np.where(segs[:n] == seg[:, None], win[:n], np.nan))
+    after = _row_median(np.where(segs[SIDE + 1 : SIDE + 1 + n] == seg[:, None], win[SIDE + 1 : SIDE + 1 + n], np.nan))
     return before, after
 
 
 def _season(y: np.ndarray, hour: np.ndarray, seg: np.ndarray) -> np.ndarray:
     """Median course over the hours of a day, from readings less their running daily level."""
-    n = len(y)
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        pad = np.full(12, np.nan)
-        win = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, y, pad]), 25)
-        segs = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(12, -1), seg, np.full(12, -1)]), 25)
-        same = segs == seg[:, None]
-        level = np.nanmedian(np.where(same, win, np.nan), axis=1)
-        # a window cut short at a segment's end is lopsided within the day
-        rest = np.where(same.sum(axis=1) >= 24, y - level, np.nan)
-        out = np.zeros(24)
-        for h in range(24):
-            v = rest[hour == h]
-            v = v[~np.isnan(v)]
-            if len(v) >= 4:
-                out[h] = np.median(v)
+    pad = np.full(12, np.nan)
+    win = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, y, pad]), 25)
+    segs = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(12, -1), seg, np.full(12, -1)]), 25)
+    same = segs == seg[:, None]
+    level = _row_median(np.where(same, win, np.nan))
+    # a window cut short at a segment's end is lopsided within the day
+    rest = np.where(same.sum(axis=1) >= 24, y - level, np.nan)
+    out = np.zeros(24)
+    for h in range(24):
+        v = rest[hour == h]
+        v = v[~np.isnan(v)]
+        if len(v) >= 4:
+            out[h] = np.median(v)
     return out[hour]
 
 
@@ -128,7 +130,7 @@ def scaled_residuals(y: np.ndarray, hour: np.ndarray, seg: np.ndarray) -> np.nda
         if len(e) < 12:
             return z
         scale = 1.4826 * np.median(np.abs(e - np.median(e)))
-        scale = max(scale, 1e-9 + 1e-4 * abs(np.nanmedian(y)))
+        scale = max(scale, 1e-9 + 1e-4 * abs(float(np.median(y[~np.isnan(y)]))))
         z = r / scale
         new = skip | (np.abs(np.nan_to_num(z)) > 5.0)
         if (new == skip).all():

@@ -16,7 +16,7 @@ def pump(name, seed, first, hours=300):
     v = (2 + 0.004 * h) * (1 + 0.03 * g.standard_normal(hours))
     t = 50 + 4 * np.sin(h / 24 * 2 * np.pi) + 0.5 * g.standard_normal(hours)
     r = 1480 + 3 * g.standard_normal(hours)
-    return [[first + i, name, T0 + timedelta(hours=int(i)), round(float(v[i]), 3), round(float(t[i]), 2), round(float(r[i]), 1), "x"] for i in h]
+    return [[first + int(i), name, T0 + timedelta(hours=int(i)), round(float(v[i]), 3), round(float(t[i]), 2), round(float(r[i]), 1), "x"] for i in h]
 
 
 def test_planted_cases(spark):
