@@ -12,6 +12,8 @@ blocks of hours, each with enough hours of its neighbours to judge its own readi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,27 +152,22 @@ def _stuck(x: np.ndarray, hours: np.ndarray, usable: np.ndarray) -> np.ndarray:
     return usable & (np.bincount(run, minlength=run[-1] + 1)[run] >= STUCK_HOURS)
 
 
-def judge_block(block: int, r: pd.DataFrame, down: pd.DataFrame) -> list[tuple]:
-    """One source's block: per channel its histogram, certain cases, and candidates with their neighbours' residuals."""
-    r = r.sort_values(["ts", "reading_id"], kind="stable").drop_duplicates("reading_id", keep="first").reset_index(drop=True)
-    ts = r["ts"].to_numpy()
+def judge_block(block: int, ids: np.ndarray, ts: np.ndarray, stopped: np.ndarray, values: dict[str, np.ndarray]) -> list[tuple]:
+    """One source's block, in order of time: per channel its histogram, certain cases, and candidates with their neighbours' residuals."""
+    _, once = np.unique(ids, return_index=True)
+    if len(once) < len(ids):
+        once.sort()
+        ids, ts, stopped, values = ids[once], ts[once], stopped[once], {k: v[once] for k, v in values.items()}
     hours = ts // 3600
     own = (hours // BLOCK_HOURS) == block
-    stopped = np.zeros(len(r), bool)
-    # merged periods: sorted and disjoint
-    d = down.sort_values("start_s")
-    if len(d):
-        i = np.searchsorted(d["start_s"].to_numpy(), ts, side="right") - 1
-        stopped = (i >= 0) & (ts < d["end_s"].to_numpy()[np.maximum(i, 0)])
     # a running segment ends at downtime and at holes of more than SIDE hours
-    brk = np.zeros(len(r), bool)
+    brk = np.zeros(len(ids), bool)
     brk[1:] = (stopped[1:] != stopped[:-1]) | (hours[1:] - hours[:-1] > SIDE)
     seg = np.cumsum(brk)
     hour = (hours % 24).astype(int)
-    ids = r["reading_id"].to_numpy()
     out = []
     for ch, (low, high) in PLAUSIBLE.items():
-        x = r[ch].to_numpy(float)
+        x = values[ch]
         here = ~np.isnan(x) & (x != OUTAGE)
         with np.errstate(invalid="ignore"):
             impossible = here & ((x < low) | (x > high))
@@ -188,11 +185,35 @@ def judge_block(block: int, r: pd.DataFrame, down: pd.DataFrame) -> list[tuple]:
 _JUDGED = "pump_id string, channel string, hist array<long>, certain array<long>, candidates array<struct<id:long,z:array<double>>>"
 
 
-def _judge(key, r: pd.DataFrame, down: pd.DataFrame) -> pd.DataFrame:
-    cols = ["pump_id", "channel", "hist", "certain", "candidates"]
-    if not len(r):
-        return pd.DataFrame(columns=cols)
-    return pd.DataFrame([(key[0], *x) for x in judge_block(int(key[1]), r, down)], columns=cols)
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (pump_id, block, ts): one block at a time, whatever the batches."""
+    names = ["pump_id", "channel", "hist", "certain", "candidates"]
+    held: list[pd.DataFrame] = []
+    at, rows = None, []
+
+    def settle() -> None:
+        p = pd.concat(held) if len(held) > 1 else held[0]
+        args = (p[c].to_numpy() for c in ("reading_id", "ts", "stopped"))
+        rows.extend((at[0], *x) for x in judge_block(int(at[1]), *args, {c: p[c].to_numpy(float) for c in PLAUSIBLE}))
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pump, block = pdf["pump_id"].to_numpy(), pdf["block"].to_numpy()
+        cuts = np.flatnonzero((pump[1:] != pump[:-1]) | (block[1:] != block[:-1])) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+            if at != (pump[a], block[a]):
+                if held:
+                    settle()
+                at, held = (pump[a], block[a]), []
+            held.append(pdf.iloc[a:b])
+        if len(rows) >= 1000:
+            yield pd.DataFrame(rows, columns=names)
+            rows = []
+    if held:
+        settle()
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float = 1e-6) -> DataFrame:
@@ -213,9 +234,18 @@ def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float =
         return F.explode(F.sequence(F.floor((lo - HALO_HOURS) / BLOCK_HOURS), F.floor((hi + HALO_HOURS) / BLOCK_HOURS)))
 
     placed = base.filter("pump_id IS NOT NULL AND ts IS NOT NULL").withColumn("block", blocks(hour, hour))
+    # disjoint periods of a block of hours: a bounded list
     down = periods.select("pump_id", "start_s", "end_s").withColumn("block", blocks(F.floor(F.col("start_s") / 3600), F.floor(F.col("end_s") / 3600)))
+    down = down.groupBy("pump_id", "block").agg(F.collect_list(F.struct("start_s", "end_s")).alias("down"))
+    stopped = F.coalesce(F.exists("down", lambda p: (p["start_s"] <= F.col("ts")) & (F.col("ts") < p["end_s"])), F.lit(False))
+    # the join keeps this partitioning, so a block stays together
     judged = (
-        placed.groupBy("pump_id", "block").cogroup(down.groupBy("pump_id", "block")).applyInPandas(_judge, _JUDGED)
+        placed.repartition("pump_id", "block")
+        .join(down, ["pump_id", "block"], "left")
+        .withColumn("stopped", stopped)
+        .drop("down")
+        .sortWithinPartitions("pump_id", "block", "ts", "reading_id")
+        .mapInPandas(_judge, _JUDGED)
     )
     # the fit and the verdict read it: written once, a row a channel and block
     judged = materialized(judged, "judged")
@@ -229,6 +259,8 @@ def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float =
     def cutoff(hist: pd.Series, pool: pd.Series) -> pd.Series:
         return pd.Series([gpd_cutoff(np.asarray(h, float), np.asarray(p, float), risk) for h, p in zip(hist, pool)])
 
+    # else the optimizer runs it once more to filter on its result
+    cutoff = cutoff.asNondeterministic()
     cut = by_source.join(F.broadcast(pooled), "channel").select("channel", "pump_id", cutoff("hist", "pooled").alias("cut"))
     c = judged.filter(F.size("candidates") > 0).select("channel", "pump_id", F.inline("candidates")).join(cut, ["channel", "pump_id"])
     mid = F.col("z")[SPIKE_HOURS]
