@@ -55,8 +55,10 @@ def ranked(df: DataFrame, column: str, by: list[str], out: str = "rank") -> Data
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Correlation, 0 where either side is constant or a group has one row."""
-    c = F.corr(x, y)
+    """Correlation over rows where neither is null, 0 where a side is constant. (corr() itself fails on constants.)"""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    c = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     return F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0))
 
 

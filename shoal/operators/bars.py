@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.operators.aggregates import sharpe
+from shoal.operators.aggregates import pearson, sharpe
 from shoal.operators.windows import islands, rolling, set_reset, simple_return
 
 _FIRST = Window.unboundedPreceding
@@ -126,8 +126,7 @@ def drawdown(df: DataFrame) -> DataFrame:
     w = arena_window()
     d = df.withColumn("_e", F.sum("pnl").over(w.rowsBetween(_FIRST, 0))).withColumn("_l", F.lag("pnl").over(w))
     d = d.withColumn("_d", F.max("_e").over(w.rowsBetween(_FIRST, 0)) - F.col("_e"))
-    ac = F.corr("pnl", "_l")
-    return d.groupBy("arena").agg(F.sum("pnl").alias("total"), F.max("_d").alias("drawdown"), F.coalesce(F.when(~F.isnan(ac), ac), F.lit(0.0)).alias("autocorrelation"))
+    return d.groupBy("arena").agg(F.sum("pnl").alias("total"), F.max("_d").alias("drawdown"), pearson(F.col("pnl"), F.col("_l")).alias("autocorrelation"))
 
 
 def behaviour(df: DataFrame, trade_log: DataFrame) -> DataFrame:
@@ -137,10 +136,9 @@ def behaviour(df: DataFrame, trade_log: DataFrame) -> DataFrame:
     """
     w = arena_window()
     d = df.withColumn("_in", ((F.col("pos") == 1) & (F.coalesce(F.lag("pos").over(w), F.lit(0)) == 0)).cast("int")).withColumn("_nxt", F.lead("ret").over(w))
-    al = F.corr("pos", "_nxt")
     steps = d.groupBy("arena").agg(
         F.avg("pos").alias("exposure"), F.sum("_in").alias("entries"), sharpe(F.when(F.col("step") > 0, F.col("pnl")), bound=1e9).alias("sharpe"),
-        F.coalesce(F.when(~F.isnan(al), al), F.lit(0.0)).alias("alignment"),
+        pearson(F.col("pos"), F.col("_nxt")).alias("alignment"),
     )
     t = trade_log.join(df.select("arena", F.col("step").alias("entry_step"), "high_vol"), ["arena", "entry_step"], "left")
     win = (F.col("trade_return") > 0).cast("double")

@@ -19,9 +19,11 @@ def vocabulary(sequences: DataFrame, tokens: str, specials: tuple[str, ...] = ("
 
 def encode(sequences: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int = 1) -> DataFrame:
     """(key, ids): sequences as token ids, unknown tokens (nulls, too) as ``unknown``. Empty sequences stay empty."""
-    e = sequences.select(key, F.posexplode_outer(tokens).alias("p", "token")).join(vocab.select("token", "id"), "token", "left")
-    pair = F.when(F.col("p").isNotNull(), F.struct("p", F.coalesce("id", F.lit(unknown)).alias("id")))
-    return e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["id"]).alias("ids"))
+    e = sequences.select(F.col(key).alias("_key"), F.posexplode_outer(tokens).alias("_p", "_tok"))
+    e = e.join(vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id")), "_tok", "left")
+    pair = F.when(F.col("_p").isNotNull(), F.struct("_p", F.coalesce("_id", F.lit(unknown)).alias("_id")))
+    ids = F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["_id"])
+    return e.groupBy("_key").agg(ids.alias("ids")).withColumnRenamed("_key", key)
 
 
 def prefix_examples(sequences: DataFrame, key: str, tokens: str, least: int = 1, longest: int = 40) -> DataFrame:

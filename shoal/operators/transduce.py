@@ -120,7 +120,8 @@ def local_time(layout: Column, time: Column, day_first: dict[str, bool]) -> Colu
 
 
 def one_decimal(x: Column) -> Column:
-    return F.format_string("%.1f", F.round(x, 1) + F.lit(0.0))
+    # format_string turns null into a text
+    return F.when(x.isNotNull(), F.format_string("%.1f", F.round(x, 1) + F.lit(0.0)))
 
 
 def transduce(lines: DataFrame, sites: DataFrame, rules: Rules | None = None, raw: str = "raw_line") -> DataFrame:
