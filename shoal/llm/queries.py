@@ -106,7 +106,9 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     """Error of the out-of-fold levels by the source that was left out."""
-    f = spark.createDataFrame(_reading(spark, d).folds, "doc_id long, source string, band double, predicted double, level double")
+    model = _reading(spark, d)
+    folds = model.folds if model else []
+    f = spark.createDataFrame(folds, "doc_id long, source string, band double, predicted double, level double")
     err = F.abs(F.col("level") - F.col("band"))
     return f.groupBy("source").agg(
         F.count("*").alias("n"), F.round(F.avg(err), 4).alias("mean_error"), F.round(F.avg((F.round("level") == F.round("band")).cast("double")), 4).alias("same_band")
