@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.operators.scans import range_blocks, running
+
 
 def mode_of(df: DataFrame, by: list[str], column: str, out: str = "mode") -> DataFrame:
     """Most frequent non-null value of each group; ties go to the smallest value. Counts combine before the shuffle."""
@@ -42,12 +44,17 @@ def average_rank(column: str, by: list[str], descending: bool = False) -> Column
 def ranked(df: DataFrame, column: str, by: list[str], out: str = "rank") -> DataFrame:
     """df with the average rank of a column within ``by`` and the share ``<out>_pct`` of ranked values.
 
-    The distinct values are ranked, not the rows: their counts combine before the shuffle, so many ties cost nothing.
+    The distinct values of a numeric column are ranked, not the rows, block by block of its range: neither many ties nor one
+    large group gathers in a task.
     """
     n = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum("_n").over(w.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = n.withColumn(out, below + (F.col("_n") + 1) / 2.0).withColumn(f"{out}_pct", F.col(out) / F.sum("_n").over(w)).drop("_n")
+    n = range_blocks(n, column).withColumn("_one", F.lit(1))
+    r = running(n, by or ["_one"], [column], "_b", "_n", "sum", "_to")
+    total = n.groupBy(*(by or ["_one"])).agg(F.sum("_n").alias("_all"))
+    r = r.withColumn(out, F.col("_to") - F.col("_n") + (F.col("_n") + 1) / 2.0)
+    on = [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(by or ["_one"])]
+    r = r.join(total.withColumnsRenamed({c: f"_t{i}" for i, c in enumerate(by or ["_one"])}), on)
+    r = r.select(*by, column, out, (F.col(out) / F.col("_all")).alias(f"{out}_pct"))
     keys = [*by, column]
     r = r.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
     cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]

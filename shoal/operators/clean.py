@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.text import strip
+from shoal.operators.scans import global_numbers
 
 
 def blank_sentinels(c: Column, words: tuple[str, ...] = ("nan", "None", "NaN", "NULL")) -> Column:
@@ -49,7 +50,7 @@ def one_hot(df: DataFrame, column: str, vocabulary: list[str], prefix: str) -> D
 
 def label_encode(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     """Codes from 0 in order of the values; null gets -1. The distinct values are numbered, not the rows."""
-    codes = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
+    codes = global_numbers(df.select(column).filter(F.col(column).isNotNull()).distinct(), [column], out)
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1))).select(*df.columns, out)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -95,18 +99,35 @@ def greedy_match(left: DataFrame, right: DataFrame, stratum: str, key: str, feat
     )
 
 
-def co_occurrence(df: DataFrame, basket: str, item: str) -> DataFrame:
-    """(item_a, item_b, n_ab, n_a, n_b, cosine) of ordered pairs item_a <> item_b that share a basket.
+def co_occurrence(df: DataFrame, basket: str, item: str, least: int = 1, hold: int = 500_000) -> DataFrame:
+    """(item_a, item_b, n_ab, n_a, n_b, cosine) of ordered pairs item_a <> item_b on ``least`` or more common baskets.
 
-    Repeats count once. The self-join is on the basket, after distinct; for baskets with very many items and for
-    significance use the stripes operator instead.
+    Repeats count once; rows with a null basket or item don't count. A task adds its baskets' pairs up before it hands
+    anything on, so the shuffle grows with the kinds of pairs, not with the pairs of every basket. A basket's list is bounded
+    by the number of items. Items on fewer than ``least`` baskets can't be in a pair and are dropped first.
     """
-    p = df.select(F.col(basket).alias("_b"), F.col(item).alias("_i")).filter("_b IS NOT NULL AND _i IS NOT NULL").distinct()
-    n = p.groupBy("_i").agg(F.count("*").alias("n"))
-    a, b = p.withColumnRenamed("_i", "item_a"), p.withColumnRenamed("_i", "item_b")
-    pairs = a.join(b, "_b").filter("item_a <> item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab"))
-    pairs = pairs.join(n.select(F.col("_i").alias("item_a"), F.col("n").alias("n_a")), "item_a")
-    pairs = pairs.join(n.select(F.col("_i").alias("item_b"), F.col("n").alias("n_b")), "item_b")
-    return pairs.withColumn("cosine", F.col("n_ab") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b")))
-
-
+    p = df.select(F.col(basket).cast("string").alias("_b"), F.col(item).cast("string").alias("_i")).filter("_b IS NOT NULL AND _i IS NOT NULL").distinct()
+    n = p.groupBy("_i").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    lists = p.join(n, "_i").groupBy("_b").agg(F.collect_list("_i").alias("items")).filter(F.size("items") > 1).select("items")
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+
+        def hand_on() -> pd.DataFrame:
+            out = pd.DataFrame([(a, b, k) for (a, b), k in held.items()], columns=["a", "b", "k"])
+            held.clear()
+            return out
+
+        for pdf in batches:
+            for basket_items in pdf["items"]:
+                held.update(combinations(sorted(basket_items), 2))
+                if len(held) >= hold:
+                    yield hand_on()
+        if held:
+            yield hand_on()
+
+    half = lists.mapInPandas(add_up, "a string, b string, k long").groupBy("a", "b").agg(F.sum("k").alias("n_ab")).filter(F.col("n_ab") >= least)
+    both = half.select(F.inline(F.array(F.struct(F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_ab"), F.struct(F.col("b").alias("item_a"), F.col("a").alias("item_b"), "n_ab"))))
+    both = both.join(n.select(F.col("_i").alias("item_a"), F.col("_n").alias("n_a")), "item_a")
+    both = both.join(n.select(F.col("_i").alias("item_b"), F.col("_n").alias("n_b")), "item_b")
+    return both.withColumn("cosine", F.col("n_ab") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.operators.aggregates import pearson, ranked
-from shoal.operators.scans import running
+from shoal.operators.scans import range_blocks, running
 
 
 def ndcg(ranked_items: DataFrame, relevant: DataFrame, user: str, item: str, rank: str = "rank", k: int = 20) -> DataFrame:
@@ -18,12 +18,6 @@ def ndcg(ranked_items: DataFrame, relevant: DataFrame, user: str, item: str, ran
     return ideal.join(hits, user, "left").select(user, (F.coalesce("dcg", F.lit(0.0)) / best).alias("ndcg"))
 
 
-def range_blocks(df: DataFrame, column: str, out: str = "_b", blocks: int = 128) -> DataFrame:
-    """df with a block number that doesn't decrease with the column: its place among approximate quantiles (a bounded array)."""
-    cuts = df.agg(F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 1000).alias("_cuts"))
-    return df.crossJoin(F.broadcast(cuts)).withColumn(out, F.size(F.filter("_cuts", lambda q: q < F.col(column)))).drop("_cuts")
-
-
 def score_steps(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """One row a distinct score from high to low: positives and rows at it (pos, n) and up to it (cum_pos, cum_n).
 
@@ -146,5 +140,5 @@ def weighted(parts: dict[str, float], low: float = 0.0, high: float = 1.0) -> Co
 
 def cumulative_share(df: DataFrame, column: str) -> DataFrame:
     """Frequency of each value and its share of all rows."""
-    n = df.groupBy(column).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    # the total is one row
+    return df.groupBy(column).agg(F.count("*").alias("n")).crossJoin(F.broadcast(df.agg(F.count("*").alias("_all")))).withColumn("share", F.col("n") / F.col("_all")).drop("_all")

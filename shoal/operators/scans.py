@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.session import checkpointed
+
 FIRST, NOW, LAST = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
 
 
@@ -34,6 +36,26 @@ def numbered(df: DataFrame, entity: list[str], order: list[str], block: str, out
     return d.withColumn(out, F.row_number().over(_window([*entity, block], order)) + F.col("_before")).drop("_before")
 
 
+def global_numbers(df: DataFrame, order: list[Column | str], out: str = "n") -> DataFrame:
+    """Number from 0 of each row in the order of the whole table, without gathering it in one task.
+
+    The rows are range-sorted and checkpointed; a partition's numbers start after the rows of those before it.
+    """
+    d = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    # the place within a partition is in the lower bits of this id
+    d = d.withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    n = d.groupBy("_pid").agg(F.count("*").alias("_n"))
+    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(FIRST, -1)), F.lit(0))).drop("_n")
+    # one row a partition
+    return d.join(F.broadcast(before), "_pid").withColumn(out, F.col("_at") + F.col("_before")).select(*df.columns, out)
+
+
+def range_blocks(df: DataFrame, column: str, out: str = "_b", blocks: int = 128) -> DataFrame:
+    """df with a block number that doesn't decrease with a numeric column: its place among approximate quantiles (a bounded array)."""
+    cuts = df.agg(F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 1000).alias("_cuts"))
+    return df.crossJoin(F.broadcast(cuts)).withColumn(out, F.size(F.filter("_cuts", lambda q: q < F.col(column)))).drop("_cuts")
+
+
 def fill_forward(df: DataFrame, entity: list[str], order: list[str], block: str, columns: list[str], back: bool = False) -> DataFrame:
     """Each null replaced by the entity's last value before it; with ``back``, then by the first one after it.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.operators.scans import global_numbers
+
 SEP = "\u0001"
 
 
@@ -12,7 +14,7 @@ def vocabulary(sequences: DataFrame, tokens: str, specials: tuple[str, ...] = ("
     """(token, n, id): specials first, then by frequency, ties by token. Distinct tokens are numbered, not occurrences."""
     n = sequences.select(F.explode(tokens).alias("token")).filter("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n"))
     v = n.filter(~F.col("token").isin(*specials))
-    v = v.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1 + len(specials))
+    v = global_numbers(v, [F.desc("n"), F.asc("token")], "id").withColumn("id", (F.col("id") + len(specials)).cast("int"))
     s = sequences.sparkSession.createDataFrame([(t, 0, i) for i, t in enumerate(specials)], "token string, n long, id int")
     return s.unionByName(v)
 
