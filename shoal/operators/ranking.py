@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.session import python_partitions
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows of each group with their rank from 1. The order must end in a unique key.
@@ -32,29 +36,55 @@ def diverse_top_k(candidates: DataFrame, similar: DataFrame, request: str, item:
     """
     c = candidates.filter((F.col("score") > 0) & F.col(request).isNotNull() & F.col(item).isNotNull()).select(request, item, "score", "support")
     near = (
-        c.select(F.col(request).alias(request), F.col(item).alias("item_a"))
+        c.select(F.col(request), F.col(item).alias("item_a"))
         .join(similar.select("item_a", "item_b", "cosine"), "item_a")
         .join(c.select(F.col(request).alias("_r"), F.col(item).alias("_i")), (F.col(request) == F.col("_r")) & (F.col("item_b") == F.col("_i")))
-        .select(F.col("_r"), "item_a", "item_b", "cosine")
+        .select(F.col("_r").alias("r"), F.lit(1).alias("part"), F.col("item_a").alias("x"), F.col("item_b").alias("y"), F.col("cosine").cast("double").alias("v"), F.lit(0).cast("long").alias("n"))
     )
+    own = c.select(F.col(request).alias("r"), F.lit(0).alias("part"), F.col(item).alias("x"), F.lit(None).cast(c.schema[item].dataType).alias("y"), F.col("score").cast("double").alias("v"), F.col("support").cast("long").alias("n"))
     req, it = c.schema[request].dataType.simpleString(), c.schema[item].dataType.simpleString()
 
-    def pick(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = [request, "position", item]
-        a = a.drop_duplicates(item).sort_values(["support", item], ascending=[False, True], kind="stable").reset_index(drop=True)
+    def pick(a: pd.DataFrame) -> list[tuple]:
+        b = a[a["part"] == 1]
+        a = a[a["part"] == 0].drop_duplicates("x").sort_values(["n", "x"], ascending=[False, True], kind="stable")
         if len(a) < k:
-            return pd.DataFrame(columns=names)
-        at = {x: i for i, x in enumerate(a[item])}
-        sim = np.zeros((len(a), len(a)))
-        for x, y, v in zip(b["item_a"], b["item_b"], b["cosine"]):
+            return []
+        r, names = a["r"].iloc[0], a["x"].tolist()
+        at = {x: i for i, x in enumerate(names)}
+        sim = np.zeros((len(names), len(names)))
+        for x, y, v in zip(b["x"], b["y"], b["v"]):
             sim[at[x], at[y]] = v
-        score, most, taken, out = a["score"].to_numpy(float), np.zeros(len(a)), np.zeros(len(a), bool), []
+        score, most, taken, out = a["v"].to_numpy(float), np.zeros(len(names)), np.zeros(len(names), bool), []
         for p in range(k):
             # rows are in tie order already, and argmax takes the first
             j = int(np.where(taken, -np.inf, score - weight * most).argmax())
             taken[j] = True
             most = np.maximum(most, sim[j])
-            out.append((key[0], p + 1, a[item].iloc[j]))
-        return pd.DataFrame(out, columns=names)
+            out.append((r, p + 1, names[j]))
+        return out
 
-    return c.groupBy(request).cogroup(near.groupBy("_r")).applyInPandas(pick, f"{request} {req}, position int, {item} {it}")
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by request: one request at a time, whatever the batches."""
+        columns, held, at = [request, "position", item], [], None
+        for pdf in batches:
+            rows = []
+            r = pdf["r"].to_numpy()
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+                if a == b:
+                    continue
+                if at is not None and r[a] != at:
+                    rows += pick(pd.concat(held))
+                    held = []
+                at = r[a]
+                held.append(pdf.iloc[a:b])
+            yield pd.DataFrame(rows, columns=columns)
+        if held:
+            yield pd.DataFrame(pick(pd.concat(held)), columns=columns)
+
+    return (
+        own.unionByName(near)
+        .repartition(python_partitions(candidates), "r")
+        .sortWithinPartitions("r", "part")
+        .mapInPandas(scan, f"{request} {req}, position int, {item} {it}")
+    )

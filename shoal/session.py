@@ -65,3 +65,12 @@ def materialized(df: DataFrame, what: str) -> DataFrame:
     at = scratch_path(df.sparkSession, what)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def python_partitions(df: DataFrame) -> int:
+    """Partitions for work in Python after a shuffle: as many as shuffles have, and one a core at least.
+
+    Given as a number, adaptive execution doesn't merge them by bytes: Python work is bound by CPU, not by size.
+    """
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
