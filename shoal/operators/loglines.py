@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.earley import Grammar, Parse, parse
+from shoal.session import python_partitions
 
 BLOCK_LINES = 4096
 
@@ -403,9 +404,9 @@ def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
         .filter(F.col("home").isNotNull())
         .select("line_id", "stream", "line_no", "raw_line", "arrived", "home")
     )
+    placed = head.unionByName(rest)
     return (
-        head.unionByName(rest)
-        .repartition("stream", "home")
+        placed.repartition(python_partitions(lines), "stream", "home")
         .sortWithinPartitions("stream", "home", "line_no", "line_id")
         .select("*", *[c.alias(k) for k, c in line_moves(F.col("raw_line")).items()])
         .mapInPandas(_parse_partition, FIELDS)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.session import materialized
+from shoal.session import materialized, python_partitions
 
 BLOCK_HOURS = 8192
 HALO_HOURS = 240
@@ -240,7 +240,7 @@ def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float =
     stopped = F.coalesce(F.exists("down", lambda p: (p["start_s"] <= F.col("ts")) & (F.col("ts") < p["end_s"])), F.lit(False))
     # the join keeps this partitioning, so a block stays together
     judged = (
-        placed.repartition("pump_id", "block")
+        placed.repartition(python_partitions(readings), "pump_id", "block")
         .join(down, ["pump_id", "block"], "left")
         .withColumn("stopped", stopped)
         .drop("down")
