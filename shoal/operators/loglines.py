@@ -320,8 +320,8 @@ def block_owners(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     zero = F.struct(
         *[x for s, k in zip("npb", (PLAIN, QUOTE, BRACE)) for x in (F.lit(k).alias(f"s{s}"), F.lit(None).cast("long").alias(f"f{s}"))]
     )
-    # a block holds block_lines lines at most, so its list is bounded
-    blocks = narrow.groupBy("stream", "block").agg(F.aggregate(F.array_sort(F.collect_list("m")), zero, step).alias("b")).select("stream", "block", "b.*")
+    # a block holds block_lines lines at most, so its list is bounded; a set, as repeated rows count once
+    blocks = narrow.groupBy("stream", "block").agg(F.aggregate(F.array_sort(F.collect_set("m")), zero, step).alias("b")).select("stream", "block", "b.*")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, state, owner = None, PLAIN, None
@@ -349,14 +349,17 @@ def block_owners(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
 
 def _scan_entries(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """(line_id, stream, line_no, arrived, lines) of each entry of lines sorted by (stream, home, line_no)."""
-    at, cur, state = None, None, PLAIN
+    at, cur, state, last = None, None, PLAIN, None
     for pdf in batches:
         cols = (pdf[c].tolist() for c in ("line_id", "stream", "home", "line_no", "raw_line", "arrived", "start", "from_plain", "from_quote", "from_brace"))
         for line_id, stream, home, line_no, raw, arrived, start, fp, fq, fb in zip(*cols):
             if (stream, home) != at:
                 if cur:
                     yield cur
-                at, cur, state = (stream, home), None, PLAIN
+                at, cur, state, last = (stream, home), None, PLAIN, None
+            if line_no == last:
+                continue
+            last = line_no
             if state == PLAIN and start:
                 if cur:
                     yield cur
@@ -388,7 +391,8 @@ def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     ``arrived``); other columns are ignored. Entries that fit no
     layout come out with ok = false and the text from where every parse broke off in ``unparsed``.
     Lines before a stream's first entry, comments and lines without stream or number are part of no
-    entry. A null raw_line counts as a blank line. An empty table gives no rows.
+    entry. A null raw_line counts as a blank line. Rows with one stream and
+    line number count once. An empty table gives no rows.
     """
     arrived = F.col("received_at") if "received_at" in lines.columns else F.lit(None)
     lines = lines.filter(F.col("stream").isNotNull() & F.col("line_no").isNotNull()).select(

@@ -22,8 +22,15 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x").transform(filled)
 
 
+def _no_rows(train: DataFrame, test: DataFrame) -> DataFrame | None:
+    """test with a null score, if there is nothing to learn from."""
+    return None if train.limit(1).count() else test.withColumn("score", F.lit(None).cast("double"))
+
+
 def boosted_scores(train: DataFrame, test: DataFrame, label: str, features: list[str], weight: str | None = None, seed: int = 7, rounds: int = 10) -> DataFrame:
-    """test with ``score``: probability of label 1 from gradient-boosted trees (missing features count as 0)."""
+    """test with ``score``: probability of label 1 from gradient-boosted trees (missing features count as 0; null without training rows)."""
+    if (none := _no_rows(train, test)) is not None:
+        return none
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
 
@@ -33,7 +40,9 @@ def boosted_scores(train: DataFrame, test: DataFrame, label: str, features: list
 
 
 def boosted_values(train: DataFrame, test: DataFrame, label: str, features: list[str], seed: int = 7, rounds: int = 10) -> DataFrame:
-    """test with ``score`` from gradient-boosted regression trees; also a pointwise ranker when the label is a relevance."""
+    """test with ``score`` from gradient-boosted regression trees; also a pointwise ranker when the label is a relevance. Null without training rows."""
+    if (none := _no_rows(train, test)) is not None:
+        return none
     from pyspark.ml.regression import GBTRegressor
 
     gbt = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=4, seed=seed, predictionCol="score")

@@ -120,6 +120,7 @@ def test_blocks_do_not_change_entries(spark, rows):
     rnd = random.Random(3)
     entries = [rnd.choice(list(CASES)) for _ in range(60)]
     data = stream_lines("s1", entries, 1) + stream_lines("s2", entries[:5], 2) + [("x", None, 1, "lost", ""), ("y", "s3", 1, None, ""), ("z", "s3", 2, "  early", "")]
+    data += data[:40]
     rnd.shuffle(data)
     df = spark.createDataFrame(data, SCHEMA)
     want = rows(log_entries(df), "line_id", "ok", "message", "component")

@@ -350,3 +350,16 @@ def test_sources(spark, tmp_path):
     assert S.report(spark.createDataFrame([(1, "x")], "a int, b string")) == '{"a": 1, "b": "x"}'
     S.write_table(S.as_frame(spark, a, text=True), str(tmp_path / "t.orc"), kind="orc")
     assert S.as_frame(spark, str(tmp_path / "t.orc")).count() == 2
+
+
+def test_models(spark):
+    from shoal.operators.models import balanced_weights, boosted_scores, boosted_values, out_of_fold, threshold_search
+
+    d = spark.createDataFrame([(i, i % 10, float(i % 7), int(i % 7 > 3)) for i in range(210)] + [(500, 1, None, 0)], "id int, g int, x double, y int")
+    w = balanced_weights(d, "y").groupBy("y").agg(F.sum("weight")).collect()
+    assert abs(w[0][1] - w[1][1]) < 1e-6
+    s = out_of_fold(d, "g", 2, lambda a, b: boosted_scores(a, b, "y", ["x"], rounds=2))
+    assert s.count() == d.count() and metrics.auc(s, "score", "y").first()[0] > 0.95
+    t = {r["threshold"]: r for r in threshold_search(s, "score", "y", [0.5, 2.0]).collect()}
+    assert t[0.5]["f1"] > 0.95 and t[2.0]["f1"] == 0 and t[2.0]["precision"] == 0
+    assert boosted_values(d.limit(0), d, "y", ["x"]).filter("score IS NOT NULL").count() == 0
