@@ -178,4 +178,4 @@ def near_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         index = materialized(build_postings(docs, doc_id, text, vocabulary), "postings")
         hits = find_proximity(index, numbered, term_counts(index), rare, span).withColumnRenamed("doc_id", doc_id)
         out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else docs.select(doc_id, F.lit("").alias("item_id"), F.lit(0).alias("width")).limit(0)
+    return out.distinct() if out is not None else docs.select(doc_id, F.lit("").alias("item_id"), F.lit(0).alias("width")).limit(0)
