@@ -27,6 +27,8 @@ from shoal.functions.text import folded, key128
 from shoal.session import scratch_path
 
 FRESH, REPEAT, LATE, EXPIRED = 0, 1, 2, 3
+#: Input of one commit by default. Raise it with the cluster: a commit's shuffle should keep all cores busy for minutes.
+COMMIT_BYTES = 1 << 30
 ENTRY = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("arrived", "<i8"), ("row_id", "<i8"), ("event_ms", "<i8")])
 OUT = "kind int, h1 long, h2 long, arrived long, row_id long"
 
@@ -128,7 +130,7 @@ def find_redeliveries(
     row_id: str,
     required: list[str],
     delay: str = "10 days",
-    buckets: int = 64,
+    buckets: int | None = None,
     **options: str,
 ) -> DataFrame:
     """row_id of each delivery of a message but its first, over a folder or file of Parquet deliveries.
@@ -136,15 +138,18 @@ def find_redeliveries(
     Two rows are one message if the key columns agree, strings regardless of letter case and
     surrounding white space; a null agrees with a null only. Rows with null in a required column are no
     messages and never come out. Ties in arrival go to the smaller row id. An empty table gives no
-    rows. options go to the file source (maxFilesPerTrigger, maxBytesPerTrigger: rows per commit).
+    rows. options go to the file source (maxFilesPerTrigger, maxBytesPerTrigger: input per commit). A bucket's state
+    holds its share of the identifiers of ``delay``, 40 bytes each: choose buckets so that it stays at some megabytes
+    (four a shuffle partition by default).
     """
+    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = spark.read.parquet(path).schema
     need = dict.fromkeys([*key, event_time, arrived, row_id])
     # a file stream takes folders or patterns; as a pattern the path may also name a single file
     pattern = f"{path[:-1]}[{path[-1]}]"
     source = (
         spark.readStream.schema(T.StructType([schema[c] for c in need]))
-        .options(**({"maxBytesPerTrigger": str(256 << 20)} if not options else options))
+        .options(**({"maxBytesPerTrigger": str(COMMIT_BYTES)} if not options else options))
         .parquet(pattern)
     )
     as_key = [folded(c) if schema[c].dataType.typeName() == "string" else F.col(c) for c in key]
