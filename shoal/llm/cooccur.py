@@ -69,7 +69,7 @@ def item_pairs(rows: DataFrame, basket: str, item: str, min_count: int = 5, min_
     )
     n = base.agg(F.count_distinct("basket").alias("n"))
     counts = base.groupBy("item").agg(F.count("*").alias("n_i")).crossJoin(F.broadcast(n))
-    kept = counts.filter((F.col("n_i") >= min_count) & (F.col("n_i") >= F.col("n") * min_share) & (F.col("n") >= F.col("n_i") * min_lift))
+    kept = counts.filter((F.col("n_i") >= min_count) & (F.col("n_i") >= F.col("n") * min_share * (1 - 1e-12)) & (F.col("n") >= F.col("n_i") * min_lift))
     # the merged stripes and the reported pairs need the counts again
     kept = materialized(kept, "items")
     # a basket holds an item once: its list is bounded by the number of kept items
@@ -80,7 +80,7 @@ def item_pairs(rows: DataFrame, basket: str, item: str, min_count: int = 5, min_
     left = kept.select(F.col("item").alias("item_a"), F.col("n_i").alias("n_a"), "n")
     right = kept.select(F.col("item").alias("item_b"), F.col("n_i").alias("n_b"))
     p = pairs.join(left, "item_a").join(right, "item_b")
-    p = p.filter((F.col("n_ab") >= F.col("n") * min_share) & (F.col("n_ab") * F.col("n") >= F.col("n_a") * F.col("n_b") * min_lift))
+    p = p.filter((F.col("n_ab") >= F.col("n") * min_share * (1 - 1e-12)) & (F.col("n_ab") * F.col("n") >= F.col("n_a") * F.col("n_b") * min_lift))
     k11, k12, k21 = F.col("n_ab"), F.col("n_a") - F.col("n_ab"), F.col("n_b") - F.col("n_ab")
     k22 = F.col("n") - F.col("n_a") - F.col("n_b") + F.col("n_ab")
 

@@ -24,7 +24,7 @@ from shoal.session import materialized
 #: Words are runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 #: Items searched for at once; more are taken in blocks of this many.
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 5_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -57,21 +57,21 @@ def term_counts(postings: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
 
 
-def phrase_plans(items: list[tuple[str, list[int]]], counts: dict[int, int], words: int) -> dict[int, list]:
-    """Rarest term -> [(item, its offset, [(offset, term) of the others, rarest first])] over all stretches.
+def phrase_plans(items: list[tuple[str, list[int]]], counts: dict[int, int], words: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Rarest term -> (item's place in the list, start of the stretch, the term's offset in it) over all stretches.
 
     A term that the corpus lacks makes its stretches impossible; these are left out.
     """
-    plans: dict[int, list] = defaultdict(list)
-    seen = set()
-    for item, terms in items:
+    plans: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for n, (_, terms) in enumerate(items):
+        seen = set()
         for i in range(len(terms) - words + 1):
             stretch = tuple(terms[i : i + words])
-            if (item, stretch) in seen or any(t not in counts for t in stretch):
+            if stretch in seen or any(t not in counts for t in stretch):
                 continue
-            seen.add((item, stretch))
-            order = sorted(range(words), key=lambda k: (counts[stretch[k]], stretch[k], k))
-            plans[stretch[order[0]]].append((item, order[0], [(k, stretch[k]) for k in order[1:]]))
+            seen.add(stretch)
+            rarest = min(range(words), key=lambda k: (counts[stretch[k]], stretch[k], k))
+            plans[stretch[rarest]].append((n, i, rarest))
     return dict(plans)
 
 
@@ -94,17 +94,20 @@ def find_phrases(postings: DataFrame, items: list[tuple[str, list[int]]], counts
                 for t, p in zip(terms, positions):
                     if t in anchors:
                         lists[t].append(p)
-                hit: set[str] = set()
+                hit: set[int] = set()
                 for t, places in lists.items():
-                    for item, offset, others in plans[t]:
+                    for item, begin, offset in plans[t]:
                         if item in hit:
                             continue
+                        stretch = items[item][1][begin : begin + words]
+                        order = None
                         for p in places:
-                            start = p - offset
-                            if all(at.get(start + k) == x for k, x in others):
+                            # the next list to intersect with is that of the rarest term left
+                            order = order or sorted(range(words), key=lambda k: (counts[stretch[k]], k))
+                            if all(at.get(p - offset + k) == stretch[k] for k in order):
                                 hit.add(item)
                                 break
-                found += [(d, i) for i in hit]
+                found += [(d, items[i][0]) for i in hit]
             yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
     return postings.mapInPandas(search, f"doc_id {kind}, item_id string")
