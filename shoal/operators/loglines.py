@@ -392,7 +392,8 @@ def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     layout come out with ok = false and the text from where every parse broke off in ``unparsed``.
     Lines before a stream's first entry, comments and lines without stream or number are part of no
     entry. A null raw_line counts as a blank line. Rows with one stream and
-    line number count once. An empty table gives no rows.
+    line number count once. An entry whose quote or brace never closes goes on to the end of its stream. An empty
+    table gives no rows.
     """
     arrived = F.col("received_at") if "received_at" in lines.columns else F.lit(None)
     lines = lines.filter(F.col("stream").isNotNull() & F.col("line_no").isNotNull()).select(
