@@ -57,12 +57,12 @@ def term_counts(postings: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
 
 
-def phrase_plans(items: list[tuple[str, list[int]]], counts: dict[int, int], words: int) -> dict[int, list[tuple[int, int, int]]]:
-    """Rarest term -> (item's place in the list, start of the stretch, the term's offset in it) over all stretches.
+def phrase_plans(items: list[tuple[str, list[int]]], counts: dict[int, int], words: int) -> dict[int, list[tuple[int, int, int, int]]]:
+    """Rarest term -> (item's place in the list, start of the stretch, offset in it of the rarest and of the next rarest term).
 
     A term that the corpus lacks makes its stretches impossible; these are left out.
     """
-    plans: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    plans: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     for n, (_, terms) in enumerate(items):
         seen = set()
         for i in range(len(terms) - words + 1):
@@ -70,8 +70,8 @@ def phrase_plans(items: list[tuple[str, list[int]]], counts: dict[int, int], wor
             if stretch in seen or any(t not in counts for t in stretch):
                 continue
             seen.add(stretch)
-            rarest = min(range(words), key=lambda k: (counts[stretch[k]], stretch[k], k))
-            plans[stretch[rarest]].append((n, i, rarest))
+            order = sorted(range(words), key=lambda k: (counts[stretch[k]], stretch[k], k))
+            plans[stretch[order[0]]].append((n, i, order[0], order[min(1, words - 1)]))
     return dict(plans)
 
 
@@ -96,15 +96,14 @@ def find_phrases(postings: DataFrame, items: list[tuple[str, list[int]]], counts
                         lists[t].append(p)
                 hit: set[int] = set()
                 for t, places in lists.items():
-                    for item, begin, offset in plans[t]:
+                    for item, begin, offset, second in plans[t]:
                         if item in hit:
                             continue
-                        stretch = items[item][1][begin : begin + words]
-                        order = None
+                        terms_ = items[item][1]
+                        nxt, shift = terms_[begin + second], second - offset
                         for p in places:
-                            # the next list to intersect with is that of the rarest term left
-                            order = order or sorted(range(words), key=lambda k: (counts[stretch[k]], k))
-                            if all(at.get(p - offset + k) == stretch[k] for k in order):
+                            # the next rarest list first; then the others, in order of the words
+                            if at.get(p + shift) == nxt and all(at.get(p - offset + k) == terms_[begin + k] for k in range(words)):
                                 hit.add(item)
                                 break
                 found += [(d, items[i][0]) for i in hit]
