@@ -88,11 +88,11 @@ def stratified_auc_gain(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "spearman_by_nation",
     """WITH r AS (SELECT c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY x) + (count(*) OVER (PARTITION BY c_nationkey, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY c_nationkey ORDER BY y) + (count(*) OVER (PARTITION BY c_nationkey, y) - 1) / 2.0 AS b
-    FROM (SELECT c_nationkey, round(c_acctbal / 500) AS x, c_custkey % 7 AS y FROM customer)) SELECT c_nationkey, round(coalesce(corr(a, b), 0), 6) AS spearman FROM r GROUP BY 1""",
+    FROM (SELECT c_nationkey, round(c_acctbal / 500) AS x, c_custkey % 7 AS y FROM customer)) SELECT c_nationkey, round(coalesce(corr(a, b), 0), 6) + 0.0 AS spearman FROM r GROUP BY 1""",
 )
 def spearman_by_nation(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_nationkey", F.round(F.col("c_acctbal") / 500).alias("x"), (F.col("c_custkey") % 7).alias("y"))
-    return M.spearman_by_group(c, "x", "y", ["c_nationkey"]).withColumn("spearman", F.round("spearman", 6))
+    return M.spearman_by_group(c, "x", "y", ["c_nationkey"]).withColumn("spearman", F.round("spearman", 6) + 0.0)
 
 
 @query(

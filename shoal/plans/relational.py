@@ -371,9 +371,9 @@ def customer_terciles(spark: SparkSession, d: str) -> DataFrame:
     return quantile_bucket(table(spark, d, "customer"), "c_acctbal", [1 / 3, 2 / 3], ["low", "mid", "high"]).select("c_custkey", "bucket")
 
 
-@query("correlations", "SELECT l_returnflag, round(coalesce(corr(l_quantity, l_extendedprice), 0), 6) AS r FROM lineitem GROUP BY 1")
+@query("correlations", "SELECT l_returnflag, round(coalesce(corr(l_quantity, l_extendedprice), 0), 6) + 0.0 AS r FROM lineitem GROUP BY 1")
 def correlations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(pearson(F.col("l_quantity"), F.col("l_extendedprice")), 6).alias("r"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg((F.round(pearson(F.col("l_quantity"), F.col("l_extendedprice")), 6) + 0.0).alias("r"))
 
 
 @query(

@@ -331,11 +331,11 @@ def quarter_sharpes(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "drawdowns",
     f"""WITH {_BARS}, {_TREND}, {_PNL}, e AS (SELECT *, sum(pnl) OVER (PARTITION BY arena ORDER BY step) AS eq, lag(pnl) OVER {_W} AS l FROM p), m AS (SELECT *, max(eq) OVER (PARTITION BY arena ORDER BY step) - eq AS dd FROM e)
-    SELECT arena, round(sum(pnl), 6) AS total, round(max(dd), 6) AS drawdown, round(coalesce(corr(pnl, l), 0), 6) AS autocorrelation FROM m GROUP BY 1""",
+    SELECT arena, round(sum(pnl), 6) + 0.0 AS total, round(max(dd), 6) + 0.0 AS drawdown, round(coalesce(corr(pnl, l), 0), 6) + 0.0 AS autocorrelation FROM m GROUP BY 1""",
 )
 def drawdowns(spark: SparkSession, d: str) -> DataFrame:
     x = B.drawdown(B.profit(_trend(spark, d)))
-    return x.select("arena", *[F.round(c, 6).alias(c) for c in ("total", "drawdown", "autocorrelation")])
+    return x.select("arena", *[(F.round(c, 6) + 0.0).alias(c) for c in ("total", "drawdown", "autocorrelation")])
 
 
 @query(

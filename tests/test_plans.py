@@ -20,7 +20,9 @@ def plan(df):
 
 @needs_data
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     p = plan(entry.queries()["pruned_scan"](spark, DATA))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(l_quantity,45.0)" in p and "EqualTo(l_returnflag,R)" in p
     assert "l_extendedprice" not in p and "l_comment" not in p
 
