@@ -56,7 +56,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"item_a": [pdf["item"].iloc[0]] * len(total), "item_b": list(total.keys()), "n_ab": list(total.values())})
 
 
-def item_pairs(rows: DataFrame, basket: str, item: str, min_count: int = 5, min_share: float = 0.0, min_lift: float = 0.0) -> DataFrame:
+def item_pairs(rows: DataFrame, basket: str, item: str, min_count: int = 1, min_share: float = 0.0, min_lift: float = 0.0) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n, lift, llr) of each pair, item_a < item_b, that meets the three bounds.
 
     n_ab, n_a and n_b count baskets, n all baskets; lift is n_ab * n / (n_a * n_b); llr is the signed

@@ -31,8 +31,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of codes on 5 or more invoices, with lift and log-likelihood ratio."""
-    pairs = item_pairs(sales_lines(_table(spark, d, "sf_transactions")), "invoice", "code", 5)
+    """Every pair of codes that share an invoice, with lift and log-likelihood ratio."""
+    pairs = item_pairs(sales_lines(_table(spark, d, "sf_transactions")), "invoice", "code")
     return pairs.select(
         F.col("item_a").alias("code_a"), F.col("item_b").alias("code_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), (F.round("llr", 4) + 0.0).alias("llr")
     )
