@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.session import python_partitions
+from shoal.operators.scans import global_numbers
+from shoal.session import materialized, python_partitions
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -88,3 +89,50 @@ def diverse_top_k(candidates: DataFrame, similar: DataFrame, request: str, item:
         .sortWithinPartitions("r", "part")
         .mapInPandas(scan, f"{request} {req}, position int, {item} {it}")
     )
+
+
+def diverse_by_history(history: DataFrame, similar: DataFrame, request: str, item: str, k: int = 10, weight: float = 0.9, tilt: float = 0.1) -> DataFrame:
+    """(request, position, item): greedy picks as in diverse_top_k, out of all items that are similar to a request's history.
+
+    history: request, item, w, an item once a request; its items aren't picked. similar: item_a, item_b, n_a, cosine in both
+    directions. An item's score is the sum of w * cosine, times 1 + tilt * ln(1 + n); only positive scores compete, and
+    requests with fewer than k such items come out empty. No item and no similarity is left out: requests are cut
+    into blocks, and each block's task gets the rows of all similar pairs, so it holds one entry a pair of the catalog.
+    """
+    similar = materialized(similar.select("item_a", "item_b", "n_a", "cosine"), "similar")
+    # numbered in the order of ties: more support first, then the smaller item
+    ids = materialized(global_numbers(similar.select((-F.col("n_a")).alias("o"), F.col("item_a").alias("x")).distinct(), ["o", "x"]), "items")
+    right = ids.select(F.col("x").alias("item_b"), F.col("n").cast("int").alias("b"))
+    stripes = similar.join(right, "item_b").groupBy("item_a").agg(F.sort_array(F.collect_list(F.struct("b", "cosine"))).alias("s"))
+    stripes = stripes.join(ids.withColumnRenamed("x", "item_a"), "item_a").select("n", F.col("item_a").alias("x"), (-F.col("o")).alias("support"), F.col("s")["b"].alias("b"), F.col("s")["cosine"].alias("cosine"))
+    blocks = python_partitions(history)
+    cells = stripes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    h = history.filter(F.col(request).isNotNull()).join(ids.select(F.col("x").alias(item), "n"), item)
+    h = h.select(F.col(request).alias("r"), "n", F.col("w").cast("double").alias("w"), F.pmod(F.hash(request), F.lit(blocks)).alias("block"))
+    req, it = history.schema[request].dataType.simpleString(), history.schema[item].dataType.simpleString()
+
+    def pick(a: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        m = m.sort_values("n")
+        at = {n: i for i, n in enumerate(m["n"])}
+        number = np.fromiter(at, "int64", len(at))
+        names, boost = m["x"].tolist(), 1 + tilt * np.log1p(m["support"].to_numpy(float))
+        near, cosines = [np.searchsorted(number, b) for b in m["b"]], m["cosine"].tolist()
+        for r, g in a.sort_values(["r", "n"]).groupby("r", sort=False):
+            own, score = [at[n] for n in g["n"]], np.zeros(len(names))
+            for i, w in zip(own, g["w"]):
+                score[near[i]] += w * cosines[i]
+            score = np.round(score * boost, 9)
+            score[own] = 0
+            if (score > 0).sum() < k:
+                continue
+            free, most = score > 0, np.zeros(len(names))
+            for p in range(k):
+                # items are in tie order already, and argmax takes the first
+                j = int(np.where(free, score - weight * most, -np.inf).argmax())
+                free[j] = False
+                most[near[j]] = np.maximum(most[near[j]], cosines[j])
+                rows.append((r, p + 1, names[j]))
+        return pd.DataFrame(rows, columns=[request, "position", item])
+
+    return h.groupBy("block").cogroup(cells.groupBy("block")).applyInPandas(pick, f"{request} {req}, position int, {item} {it}")

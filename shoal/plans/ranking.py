@@ -11,7 +11,7 @@ from shoal.operators.contracts import Contract, answered_only
 from shoal.operators.features import hash_fold
 from shoal.operators.joins import co_occurrence
 from shoal.operators.models import balanced_weights, boosted_scores, boosted_values, out_of_fold, temporal_split, threshold_search
-from shoal.operators.ranking import diverse_top_k, top_k
+from shoal.operators.ranking import diverse_by_history, top_k
 from shoal.plans.registry import Registry, table
 
 query = Registry()
@@ -239,18 +239,11 @@ def column_leakage(spark: SparkSession, d: str) -> DataFrame:
 @query("diverse_slates")
 def diverse_slates(spark: SparkSession, d: str) -> DataFrame:
     tx = table(spark, d, "sf_transactions").filter("quantity > 0 AND customer_id IS NOT NULL").select("invoice", "customer_id", "invoice_date", F.upper(strip("stock_code")).alias("item"))
-    sim = co_occurrence(tx, "invoice", "item").filter("cosine >= 0.05")
     last = tx.agg(F.max("invoice_date").alias("anchor"))
     age = F.datediff("anchor", "invoice_date")
     hist = tx.crossJoin(F.broadcast(last)).groupBy("customer_id", "item").agg(F.pow(F.lit(0.5), F.min(age) / 60.0).alias("w"))
     hist = top_k(hist, ["customer_id"], [F.desc("w"), F.asc("item")], 40).drop("rank")
-    sup = tx.groupBy("item").agg(F.count_distinct("invoice").alias("support"))
-    scored = hist.join(sim.select(F.col("item_a").alias("item"), "item_b", "cosine"), "item").groupBy("customer_id", F.col("item_b").alias("item")).agg(F.sum(F.col("w") * F.col("cosine")).alias("base"))
-    scored = scored.join(hist.select("customer_id", "item"), ["customer_id", "item"], "left_anti").join(sup, "item")
-    scored = scored.select("customer_id", "item", F.round(F.col("base") * (1 + 0.1 * F.log1p("support")), 9).alias("score"), "support")
-    # a short list a customer: bounded work for the greedy picks
-    short = top_k(scored, ["customer_id"], [F.desc("score"), F.desc("support"), F.asc("item")], 100).drop("rank")
-    return diverse_top_k(short, sim, "customer_id", "item", 10)
+    return diverse_by_history(hist, co_occurrence(tx, "invoice", "item"), "customer_id", "item", 10)
 
 
 @query(

@@ -4,11 +4,12 @@ import datetime
 import itertools
 import random
 from collections import defaultdict
-from math import sqrt
+from math import log1p, sqrt
 
 import pandas as pd
 
 import __spark_entry__ as entry
+from shoal.operators.ranking import diverse_by_history
 
 
 def sales(tmp_path, seed=3, invoices=60, items=12, customers=9):
@@ -48,3 +49,35 @@ def test_similar_items_score_of_every_customer(spark, tmp_path):
     got = {(r["customer_id"], r["item"]): r["best"] for r in entry.queries()["similar_items_score"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and len({w for w, _ in got}) == 9
     assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
+def test_diverse_slates_out_of_all_items(spark, tmp_path):
+    lines = [x for x in sales(tmp_path, seed=5, invoices=1500, items=180, customers=4) if x[1]]
+    n, both = pair_counts(lines)
+    cos = {(a, b): k / sqrt(n[a] * n[b]) for (a, b), k in both.items()}
+    assert min(cos.values()) < 0.05
+    anchor, want = max(t for _, _, t, _ in lines), {}
+    for who in {w for _, w, _, _ in lines}:
+        last = {}
+        for _, w, t, x in lines:
+            if w == who:
+                last[x] = max(last.get(x, t), t)
+        hist = sorted(((0.5 ** ((anchor - t).days / 60), x) for x, t in last.items()), key=lambda h: (-h[0], h[1]))[:40]
+        score = {y: round(sum(w * cos.get((x, y), 0) for w, x in hist) * (1 + 0.1 * log1p(n[y])), 9) for y in n if y not in {x for _, x in hist}}
+        pool = {y: s for y, s in score.items() if s > 0}
+        picks = []
+        for _ in range(10):
+            picks.append(min((y for y in pool if y not in picks), key=lambda y: (-(pool[y] - 0.9 * max([cos.get((p, y), 0) for p in picks], default=0)), -n[y], y)))
+        want[who] = picks
+    got = entry.queries()["diverse_slates"](spark, str(tmp_path)).orderBy("customer_id", "position").collect()
+    assert {w: [r["item"] for r in got if r["customer_id"] == w] for w in want} == want and len(got) == 40
+
+
+def test_diverse_picks_beyond_a_short_list(spark):
+    # a twin of each of 120 well-scored items is close to the first pick; the last item is close to none
+    pairs = [("h", f"a{i:03}", 1.0) for i in range(120)] + [("h", "z", 0.5)] + [(f"a{i:03}", f"a{j:03}", 0.9) for i in range(120) for j in range(i)]
+    both = [(x, y, 5, c) for a, b, c in pairs for x, y in ((a, b), (b, a))]
+    similar = spark.createDataFrame(both, "item_a string, item_b string, n_a long, cosine double")
+    history = spark.createDataFrame([("r", "h", 1.0), ("few", "z", 1.0)], "r string, i string, w double")
+    got = [tuple(x) for x in diverse_by_history(history, similar, "r", "i", 2, tilt=0.0).orderBy("position").collect()]
+    assert got == [("r", 1, "a000"), ("r", 2, "z")]
