@@ -81,3 +81,13 @@ def test_diverse_picks_beyond_a_short_list(spark):
     history = spark.createDataFrame([("r", "h", 1.0), ("few", "z", 1.0)], "r string, i string, w double")
     got = [tuple(x) for x in diverse_by_history(history, similar, "r", "i", 2, tilt=0.0).orderBy("position").collect()]
     assert got == [("r", 1, "a000"), ("r", 2, "z")]
+
+
+def test_default_lists_of_every_customer(spark, tmp_path):
+    pd.DataFrame({"c_custkey": range(1, 8), "c_nationkey": [3, 5, 0, 24, 3, 7, 5]}).to_parquet(tmp_path / "customer.parquet")
+    lines = [(o, p) for p in range(1, 13) for o in range(p)] + [(0, 1)] * 20
+    pd.DataFrame(lines, columns=["l_orderkey", "l_partkey"]).to_parquet(tmp_path / "lineitem.parquet")
+    got = {tuple(r) for r in entry.queries()["popular_baseline"](spark, str(tmp_path)).select("c_custkey", "rank", "l_partkey").collect()}
+    assert got == {(c, r, 13 - r) for c in range(1, 8) for r in range(1, 11)}
+    got = [tuple(r) for r in entry.queries()["users_by_ranks"](spark, str(tmp_path)).select("c_custkey", "rank").collect()]
+    assert sorted(got) == [(c, r) for c in range(1, 8) for r in (1, 2, 3)]
