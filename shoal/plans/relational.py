@@ -254,7 +254,7 @@ def last_failure_as_of(spark: SparkSession, d: str) -> DataFrame:
 )
 def copurchase_cosine(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sf_transactions").filter("quantity > 0").select("invoice", F.upper(strip("stock_code")).alias("i"))
-    p = co_occurrence(rows, "invoice", "i", 3)
+    p = co_occurrence(rows, "invoice", "i")
     smoothed = F.col("n_ab") / F.sqrt((F.col("n_a") + 5.0) * (F.col("n_b") + 5.0))
     return p.select("item_a", "item_b", "n_ab", F.round("cosine", 6).alias("cosine"), F.round(smoothed, 6).alias("smoothed"))
 

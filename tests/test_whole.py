@@ -91,3 +91,11 @@ def test_default_lists_of_every_customer(spark, tmp_path):
     assert got == {(c, r, 13 - r) for c in range(1, 8) for r in range(1, 11)}
     got = [tuple(r) for r in entry.queries()["users_by_ranks"](spark, str(tmp_path)).select("c_custkey", "rank").collect()]
     assert sorted(got) == [(c, r) for c in range(1, 8) for r in (1, 2, 3)]
+
+
+def test_copurchase_cosine_of_every_pair(spark, tmp_path):
+    n, both = pair_counts(sales(tmp_path, seed=7, invoices=40))
+    assert min(both.values()) == 1 and max(both.values()) > 2
+    got = {(r["item_a"], r["item_b"]): r for r in entry.queries()["copurchase_cosine"](spark, str(tmp_path)).collect()}
+    assert {p: r["n_ab"] for p, r in got.items()} == both
+    assert all(abs(r["cosine"] - both[a, b] / sqrt(n[a] * n[b])) < 1e-6 and abs(r["smoothed"] - both[a, b] / sqrt((n[a] + 5) * (n[b] + 5))) < 1e-6 for (a, b), r in got.items())
