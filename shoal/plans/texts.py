@@ -153,9 +153,17 @@ p2 AS (SELECT a, b, token, CASE WHEN total IS NULL THEN p ELSE p * least(0.75, t
 kn AS (SELECT a || '>' || b AS q, token, greatest(p, 1e-9) / sum(greatest(p, 1e-9)) OVER (PARTITION BY a, b) AS p FROM p2)"""
 
 
+def _last_two(spark: SparkSession, d: str) -> DataFrame:
+    """(user_id, q, ctx): the last two tokens of every user; one, where there is one."""
+    last = F.slice("tokens", F.greatest(F.size("tokens") - 1, F.lit(1)), F.lit(2))
+    return _sequences(spark, d).select("user_id", F.concat_ws(">", last).alias("q"), last.alias("ctx"))
+
+
 def _kn(spark: SparkSession, d: str) -> DataFrame:
+    """The model of the three given contexts and of every user's; each distinct context once."""
     n = S.ngram_counts(_sequences(spark, d), "tokens", 2)
     q = spark.createDataFrame([("view>click", ["view", "click"]), ("error>error", ["error", "error"]), ("purchase>nothing", ["purchase", "nothing"])], "q string, ctx array<string>")
+    q = q.unionByName(_last_two(spark, d).select("q", "ctx")).distinct()
     return S.kneser_ney(n, q, "q", "ctx", 2)
 
 
@@ -166,7 +174,9 @@ def kneser_ney(spark: SparkSession, d: str) -> DataFrame:
 
 @query("next_symbol", f"WITH {_KN} SELECT q, arg_min(token, (-round(p, 8), token)) AS token FROM kn GROUP BY q")
 def next_symbol(spark: SparkSession, d: str) -> DataFrame:
-    return _kn(spark, d).groupBy("q").agg(F.min_by("token", F.struct((-F.round("p", 8)).alias("p"), "token")).alias("token"))
+    best = _kn(spark, d).groupBy("q").agg(F.min_by("token", F.struct((-F.round("p", 8)).alias("p"), "token")).alias("token"))
+    # a given context that no user's sequence ends in has a null user
+    return best.join(_last_two(spark, d).select("user_id", "q"), "q", "left").select("user_id", "q", "token")
 
 
 @query(

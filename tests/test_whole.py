@@ -99,3 +99,36 @@ def test_copurchase_cosine_of_every_pair(spark, tmp_path):
     got = {(r["item_a"], r["item_b"]): r for r in entry.queries()["copurchase_cosine"](spark, str(tmp_path)).collect()}
     assert {p: r["n_ab"] for p, r in got.items()} == both
     assert all(abs(r["cosine"] - both[a, b] / sqrt(n[a] * n[b])) < 1e-6 and abs(r["smoothed"] - both[a, b] / sqrt((n[a] + 5) * (n[b] + 5))) < 1e-6 for (a, b), r in got.items())
+
+
+def test_next_symbol_of_every_user(spark, tmp_path):
+    rnd, rows = random.Random(9), []
+    for u in range(1, 12):
+        for k in range(1 if u == 1 else rnd.randrange(2, 9)):
+            rows.append((len(rows), u, rnd.choice(["view", "click", "error", "purchase"]), datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=k)))
+    df = pd.DataFrame(rows, columns=["event_id", "user_id", "event_type", "ts"])
+    df["ts"] = df["ts"].astype("datetime64[us]")
+    df.to_parquet(tmp_path / "events.parquet")
+    seqs = {u: [e for _, w, e, _ in rows if w == u] for u in range(1, 12)}
+    follow = defaultdict(lambda: defaultdict(int))
+    for s in seqs.values():
+        for o in (1, 2):
+            for i in range(o, len(s)):
+                follow[tuple(s[i - o : i])][s[i]] += 1
+    tokens = sorted({t for c, f in follow.items() if len(c) == 1 for t in f})
+
+    def model(ctx):
+        p = dict.fromkeys(tokens, 1 / len(tokens))
+        for o in (1, 2):
+            f = follow.get(tuple(ctx[-o:])) if len(ctx) >= o else None
+            if f:
+                n = sum(f.values())
+                p = {t: p[t] * 0.75 * len(f) / n + max(f.get(t, 0) - 0.75, 0) / n for t in tokens}
+        return p
+
+    want = {u: min(tokens, key=lambda t: (-round(model(s[-2:])[t], 8), t)) for u, s in seqs.items()}
+    got = entry.queries()["next_symbol"](spark, str(tmp_path)).collect()
+    assert {r["user_id"]: r["token"] for r in got if r["user_id"] is not None} == want
+    assert {"view>click", "error>error", "purchase>nothing"} <= {r["q"] for r in got}
+    p = {(r["q"], r["token"]): r["p"] for r in entry.queries()["kneser_ney"](spark, str(tmp_path)).collect()}
+    assert all(abs(p[">".join(s[-2:]), t] - model(s[-2:])[t]) < 1e-7 for s in seqs.values() for t in tokens)
