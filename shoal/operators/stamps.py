@@ -1,27 +1,37 @@
 """Time stamps in mixed formats and clocks, brought to one UTC instant.
 
 A stamp that carries no zone may be read with the day or the month first, on universal time or on its
-site's clock. Every source is a mixture of these readings. A reading is the likelier, the better the
-instant agrees with when the line arrived (it can't be later, and is seldom much earlier).
-Expectation-maximisation finds each source's mixture; what a source's notes declare rules the other
-readings out. The posterior picks each stamp's reading, and a stamp whose two best readings differ and
-are about equally likely is marked unresolved.
-
-EM needs, of each source, only how many stamps show which pattern of likelihood classes. These counts
+site's clock. Every source is a mixture of these readings. A reading is the likelier, the better its
+instant agrees with when the line arrived. How long lines take to arrive is learned from the stamps whose
+instant the line itself tells (an offset, a zone, an epoch number), over all sources.
+Expectation-maximisation finds each source's mixture. Then the sources whose mixture is clear teach the wording
+of notes (``wording``), and the wording is the prior of every mixture in a second run. The posterior picks
+each stamp's reading, and a stamp whose two best readings differ and are about equally likely is marked unresolved.
+
+EM needs, of each source, only how many stamps show which pattern of lag classes. These counts
 are combined before the shuffle, and there are at most (classes ** readings) of them a source.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoal.operators.wording import wording_prior
+from shoal.session import materialized, python_partitions
+
 READINGS = [("day", "utc"), ("day", "site"), ("month", "utc"), ("month", "site")]
-#: Classes of agreement with the arrival: 0 no such reading, 1 before the stamp or weeks after, 2 days after, 3 unknown, 4 within the hour.
-LIKELIHOOD = [0.0, 1e-4, 0.02, 0.05, 1.0]
+#: Upper ends, in seconds, of the classes of lag from stamp to arrival: before the stamp, then finer near it.
+LAGS = [-60, 0, *[60 * 2**k / 2 for k in range(1, 16)], 400 * 86_400]
+#: Lag class of a reading that is no date; of one whose site's clock or whose arrival isn't known.
+NEVER, UNKNOWN = 0, 1
 EM_STEPS = 30
+#: Imagined stamps that spread over the readings: evenly in the first run, by the wording of the notes in the second.
+IMAGINED, WORDED = 4.0, 20.0
 
 # fixed values: minutes east of UTC of the zone abbreviations programs print
 ZONES = {
@@ -60,29 +70,30 @@ def local_millis(kind: Column, stamp: Column, order: str) -> Column:
     )
 
 
-def declared_clock(notes: Column) -> dict[str, Column]:
-    """What notes say of slash dates (day or month first) and of stamps without zone (utc or site); null where silent."""
-    n = F.lower(notes)
-    day = n.rlike(r"day before month|start with the day|dates as dd/mm")
-    month = n.rlike(r"month before day|start with the month|dates as mm/dd")
-    utc = n.rlike(r"\butc\b|zulu|universal time")
-    site = n.rlike(r"local time|wall clock|site time")
-    return {
-        "said_order": F.when(day & ~month, "day").when(month & ~day, "month"),
-        "said_clock": F.when(utc & ~site, "utc").when(site & ~utc, "site"),
-    }
+# fixed values: words that notes say such things with, to begin with
+CLOCK_WORDS = {"utc": ["utc", "zulu", "universal time"], "site": ["local time", "wall clock", "site time"]}
+ORDER_WORDS = {"day": ["day before", "with the day", "dd/mm"], "month": ["month before", "with the month", "mm/dd"]}
+
+
+def _lag_class(ms: Column, arrived: Column, place_known: Column) -> Column:
+    """Class of the lag: NEVER, UNKNOWN, or 2 + the place in LAGS."""
+    lag = (arrived - ms) / 1000
+    c = F.lit(len(LAGS) + 2)
+    for i in reversed(range(len(LAGS))):
+        c = F.when(lag < LAGS[i], i + 2).otherwise(c)
+    return F.when(~place_known, UNKNOWN).when(ms.isNull(), NEVER).when(arrived.isNull(), UNKNOWN).otherwise(c)
 
 
 def stamp_readings(entries: DataFrame, streams: DataFrame, sites: DataFrame) -> DataFrame:
     """entries (line_id, stream, site, stamp_kind, stamp, zone, arrived) with every reading's instant.
 
-    Adds ``fixed`` (the instant where the line itself tells it) and the arrays ``at`` and ``cls`` (instant and
-    likelihood class of each of READINGS; null and 0 where it isn't possible or the notes rule it out).
+    Adds ``fixed`` (the instant where the line itself tells it) and its lag class ``told``, the arrays ``at`` and ``cls``
+    (instant and lag class of each of READINGS), and the stream's ``notes``. at is null where a reading is no date or
+    its site isn't listed. Stamps other than slash dates have the same instant under either order.
     """
     # one row a key, so that repeated rows can't multiply stamps
     place = sites.groupBy("site").agg(F.max(F.struct("utc_offset_min", "tz_name")).alias("z")).select("site", "z.*")
     notes = streams.groupBy("stream").agg(F.max_by("notes", F.coalesce(F.length("notes"), F.lit(-1))).alias("notes"))
-    notes = notes.select("stream", *[c.alias(k) for k, c in declared_clock(F.col("notes")).items()])
     kind, stamp = F.col("stamp_kind"), F.col("stamp")
     e = entries.select("line_id", "stream", "site", "stamp_kind", "stamp", "zone", "arrived")
     # sites is a fixed table of a few dozen rows; its size is checked by the optimizer like any other
@@ -91,7 +102,7 @@ def stamp_readings(entries: DataFrame, streams: DataFrame, sites: DataFrame) ->
     epoch = F.when(kind == "epoch", stamp.try_cast("long"))
     epoch = F.when(digits <= 11, epoch * 1000).when(digits <= 14, epoch).otherwise(F.floor(epoch / 1000))
     e = e.withColumn("day", local_millis(kind, stamp, "day"))
-    e = e.withColumn("month", F.when(kind.isin("slash24", "slash12"), local_millis(kind, stamp, "month")))
+    e = e.withColumn("month", F.when(kind.isin("slash24", "slash12"), local_millis(kind, stamp, "month")).otherwise(F.col("day")))
     offset = zone_minutes(F.col("zone"))
     zoned = F.when(F.col("zone").isNotNull(), F.col("day") - offset * 60_000)
 
@@ -100,44 +111,87 @@ def stamp_readings(entries: DataFrame, streams: DataFrame, sites: DataFrame) ->
         moved = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(ms), F.coalesce("tz_name", F.lit("UTC"))))
         return F.when(F.col("tz_name").isNotNull(), moved).otherwise(ms - F.col("utc_offset_min") * 60_000)
 
-    at = []
-    slashed = kind.isin("slash24", "slash12")
-    for order, clock in READINGS:
-        allowed = F.coalesce(F.col("said_clock") == clock, F.lit(True))
-        allowed &= F.when(slashed, F.coalesce(F.col("said_order") == order, F.lit(True))).otherwise(F.lit(order == "day"))
-        ms = F.col(order)
-        at.append(F.when(allowed, ms if clock == "utc" else on_site(ms)))
     told = kind.eqNullSafe("epoch") | F.col("zone").isNotNull()
+    arrived = F.unix_millis("arrived")
+    placed = F.coalesce(F.col("tz_name"), F.col("utc_offset_min").cast("string")).isNotNull()
+    at = [F.col(order) if clock == "utc" else on_site(F.col(order)) for order, clock in READINGS]
     e = e.withColumn("fixed", F.coalesce(epoch, zoned)).withColumn("at", F.when(~told, F.array(*at)))
+    cls = [
+        _lag_class(F.col("at")[i], arrived, placed | F.lit(clock == "utc") | F.col(order).isNull()) for i, (order, clock) in enumerate(READINGS)
+    ]
+    e = e.withColumn("cls", F.when(~told, F.array(*cls)))
+    e = e.withColumn("told", F.when(F.col("fixed").isNotNull() & arrived.isNotNull(), _lag_class(F.col("fixed"), arrived, F.lit(True))))
+    return e.select("line_id", "stream", "notes", "fixed", "told", "at", "cls")
 
-    def cls(ms: Column) -> Column:
-        lag = (F.unix_millis("arrived") - ms) / 1000
-        return (
-            F.when(ms.isNull(), 0).when(F.col("arrived").isNull(), 3).when((lag < -60) | (lag > 20 * 86_400), 1).when(lag > 3600, 2).otherwise(4)
-        )
 
-    return e.withColumn("cls", F.transform("at", cls)).select("line_id", "stream", "fixed", "at", "cls")
+def lag_likelihood(read: DataFrame) -> DataFrame:
+    """One row, ``like``: the likelihood, a second, of every lag class, learned from the told stamps of all sources.
 
-
-def _mixture(pdf: pd.DataFrame) -> pd.DataFrame:
-    """EM over one source's patterns of likelihood classes: the weight of each reading."""
-    like = np.array(LIKELIHOOD)[np.array(pdf["cls"].tolist(), int).reshape(len(pdf), len(READINGS))]
-    n = pdf["n"].to_numpy(float)
-    w = np.full(len(READINGS), 1.0 / len(READINGS))
-    for _ in range(EM_STEPS):
-        post = like * w
-        total = post.sum(axis=1, keepdims=True)
-        post = np.divide(post, total, out=np.zeros_like(post), where=total > 0)
-        # one imagined stamp spread over all readings keeps a weight from reaching zero
-        w = post.T @ n + 1.0 / len(READINGS)
-        w = w / w.sum()
-    return pd.DataFrame({"stream": [pdf["stream"].iloc[0]], "weights": [w.tolist()]})
-
-
-def source_mixtures(read: DataFrame) -> DataFrame:
-    """(stream, weights): the mixture of READINGS of every source that has stamps without a zone."""
-    counts = read.filter(F.col("cls").isNotNull()).groupBy("stream", "cls").agg(F.count("*").alias("n"))
-    return counts.groupBy("stream").applyInPandas(_mixture, "stream string, weights array<double>")
+    One imagined stamp a class stands in where few are told: classes widen with the lag, so that makes short lags the
+    likelier. NEVER and UNKNOWN are 0 here; the latter is as likely as the likeliest known reading of its stamp.
+    """
+    widths = [400 * 86_400.0, 60.0] + [b - max(a, 0) for a, b in zip(LAGS[1:], LAGS[2:])] + [400 * 86_400.0]
+    counts = read.agg(*[F.count(F.when(F.col("told") == i + 2, 1)).alias(f"n{i}") for i in range(len(widths))])
+    n = [F.col(f"n{i}") + 1.0 for i in range(len(widths))]
+    total = sum(n[1:], n[0])
+    dens = [x / total / w for x, w in zip(n, widths)]
+    return counts.select(F.array(F.lit(0.0), F.lit(0.0), *dens).alias("like"))
+
+
+def _em(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """EM over every source's patterns of lag classes, all sources of a batch at once: the weight of each reading."""
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        sizes = pdf["patterns"].map(len).to_numpy()
+        src = np.repeat(np.arange(len(pdf)), sizes)
+        flat = [p for ps in pdf["patterns"] for p in ps]
+        cls = np.array([p["cls"] for p in flat], int).reshape(len(flat), len(READINGS))
+        n = np.array([p["n"] for p in flat], float)
+        like = np.take_along_axis(np.array(pdf["like"].tolist(), float)[src], cls, axis=1)
+        # an unknown clock speaks neither for nor against its reading
+        most = np.where(cls == UNKNOWN, 0.0, like).max(axis=1, initial=0.0, keepdims=True)
+        like = np.where(cls == UNKNOWN, np.where(most > 0, most, 1.0), like)
+        prior = np.array(pdf["prior"].tolist(), float)
+        w = prior / prior.sum(axis=1, keepdims=True)
+        for _ in range(EM_STEPS):
+            post = like * w[src]
+            total = post.sum(axis=1, keepdims=True)
+            post = np.divide(post, total, out=np.zeros_like(post), where=total > 0) * n[:, None]
+            w = prior.copy()
+            for k in range(len(READINGS)):
+                w[:, k] += np.bincount(src, weights=post[:, k], minlength=len(pdf))
+            w /= w.sum(axis=1, keepdims=True)
+        yield pdf[["stream", "like"]].assign(weights=list(w))[["stream", "weights", "like"]]
+
+
+_MIXED = "stream string, weights array<double>, like array<double>"
+
+
+def source_mixtures(read: DataFrame, clear: float = 0.9) -> DataFrame:
+    """(stream, weights, like): the mixture of READINGS of every source that has stamps without a zone.
+
+    like is the likelihood of each lag class. A source whose mixture gives a clock (an order of day and month) ``clear`` or more
+    teaches the wording of its notes.
+    """
+    counts = read.filter(F.col("cls").isNotNull()).groupBy("stream", "cls").agg(F.count("*").alias("n"), F.first("notes").alias("notes"))
+    # patterns, not stamps: a bounded list
+    by = counts.groupBy("stream").agg(F.first("notes").alias("notes"), F.collect_list(F.struct("cls", "n")).alias("patterns"))
+    # one row
+    by = materialized(by.crossJoin(F.broadcast(lag_likelihood(read))), "patterns")
+    tasks = python_partitions(read)
+    flat = F.array(*[F.lit(IMAGINED / len(READINGS))] * len(READINGS))
+    first = by.withColumn("prior", flat).drop("notes").repartition(tasks, "stream").mapInPandas(_em, _MIXED)
+    first = materialized(first.select("stream", "weights"), "mixtures")
+    said = by.select("stream", "notes")
+    prior = said.select("stream")
+    for name, place, labels, seeds in (("order", 0, ["day", "month"], ORDER_WORDS), ("clock", 1, ["utc", "site"], CLOCK_WORDS)):
+        share = {x: sum((F.col("weights")[i] for i, r in enumerate(READINGS) if r[place] == x), F.lit(0.0)) for x in labels}
+        known = first.select("stream", F.coalesce(*[F.when(share[x] >= clear, x) for x in labels]).alias("label"))
+        prior = prior.join(wording_prior(said, "stream", "notes", known, labels, seeds).withColumnRenamed("prior", name), "stream")
+    joint = F.array(*[WORDED * F.col("order")[["day", "month"].index(o)] * F.col("clock")[["utc", "site"].index(c)] for o, c in READINGS])
+    second = by.drop("notes").join(prior.select("stream", joint.alias("prior")), "stream")
+    return second.repartition(tasks, "stream").mapInPandas(_em, _MIXED)
 
 
 def resolve_stamps(read: DataFrame, mixtures: DataFrame, odds: float = 20.0) -> DataFrame:
@@ -146,11 +200,15 @@ def resolve_stamps(read: DataFrame, mixtures: DataFrame, odds: float = 20.0) ->
     utc_ms is null and unresolved true where no reading's instant is ``odds`` times as likely as the next
     other instant. Stamps that are no date, or whose site's clock is needed and unknown, don't come out.
     """
-    like = F.array(*[F.lit(x) for x in LIKELIHOOD])
+    j = read.join(mixtures, "stream", "left").withColumn("most", F.array_max(F.transform("cls", lambda c: F.element_at("like", c + 1))))
+    j = j.withColumn("most", F.when(F.col("most") > 0, F.col("most")).otherwise(1.0))
     scored = F.zip_with(
-        "at", F.zip_with("cls", "weights", lambda c, w: F.element_at(like, c + 1) * w), lambda a, s: F.struct(s.alias("s"), a.alias("a"))
+        "at",
+        F.zip_with("cls", "weights", lambda c, w: F.when(c == UNKNOWN, F.col("most")).otherwise(F.element_at("like", c + 1)) * w),
+        lambda a, s: F.struct(s.alias("s"), a.alias("a")),
     )
-    j = read.join(mixtures, "stream", "left").withColumn("opt", F.filter(scored, lambda x: x["a"].isNotNull()))
+    # NEVER counts for nothing; readings on an unknown clock are one option, without an instant
+    j = j.withColumn("opt", F.filter(scored, lambda x: x["s"] > 0))
     # readings of one instant count together
     instants = F.array_distinct(F.transform("opt", lambda x: x["a"]))
     j = j.withColumn(
@@ -160,7 +218,7 @@ def resolve_stamps(read: DataFrame, mixtures: DataFrame, odds: float = 20.0) ->
                 F.transform(
                     instants,
                     lambda a: F.struct(
-                        F.aggregate(F.filter("opt", lambda x: x["a"] == a), F.lit(0.0), lambda t, x: t + x["s"]).alias("s"), a.alias("a")
+                        F.aggregate(F.filter("opt", lambda x: x["a"].eqNullSafe(a)), F.lit(0.0), lambda t, x: t + x["s"]).alias("s"), a.alias("a")
                     ),
                 )
             )

@@ -110,3 +110,41 @@ def test_zones(spark, zone, minutes):
     from shoal.operators.stamps import zone_minutes
 
     assert spark.range(1).select(zone_minutes(F.lit(zone))).first()[0] == minutes
+
+
+def test_the_mixture_decides_late_stamps(spark):
+    # forty prompt lines fix the source's clock and order; one late line can't be told but by them
+    data, late = [], datetime(2025, 3, 5, 6, tzinfo=timezone.utc)
+    for i in range(40):
+        t = datetime(2025, 3, 13, tzinfo=timezone.utc) + timedelta(hours=7 * i)
+        data.append((f"a{i}", "a", "KOK", "slash24", (t + timedelta(minutes=330)).strftime("%d/%m/%Y %H:%M"), None, t + timedelta(minutes=5)))
+    data.append(("late", "a", "KOK", "slash24", "03/05/2025 11:30", None, datetime(2025, 5, 8, tzinfo=timezone.utc)))
+    got = instants(spark, data, [("a", None)])
+    assert got["late"] == (ms(2025, 5, 3, 6), False)
+    from pyspark.sql import functions as F
+
+    read = stamp_readings(spark.createDataFrame(data, E), spark.createDataFrame([("a", None)], "stream string, notes string"), spark.createDataFrame(SITES, "site string, utc_offset_min int, tz_name string"))
+    flat = source_mixtures(read).withColumn("weights", F.array(*[F.lit(0.25)] * 4))
+    assert {r["line_id"]: r["unresolved"] for r in resolve_stamps(read, flat).collect()}["late"]
+    assert late < data[-1][-1]
+
+
+def test_wording_is_learned_from_told_sources(spark):
+    from shoal.operators.wording import wording_prior
+
+    texts = [(f"s{i}", f"The {'kettle' if i % 2 else 'gong'} rules. Filed by desk {i % 7}.") for i in range(60)] + [("x", "the kettle rules here"), ("n", None)]
+    known = [(f"s{i}", "a" if i % 2 else "b") for i in range(50)]
+    p = wording_prior(spark.createDataFrame(texts, "s string, notes string"), "s", "notes", spark.createDataFrame(known, "s string, label string"), ["a", "b"], {})
+    got = {r["s"]: r["prior"] for r in p.collect()}
+    assert got["s51"][0] > 0.95 and got["s52"][1] > 0.95 and got["x"][0] > 0.95 and abs(got["n"][0] - 0.5) < 0.02
+
+
+def test_identities_decide_before_notes(spark):
+    rnd, data = random.Random(2), []
+    for i in range(30):
+        c = rnd.uniform(10, 90)
+        data += [(f"b{i}", "s", "temp", "bare", f"{c * 1.8 + 32:.1f}", None), (f"p{i}", "s", "temp", "printed", f"{rnd.uniform(10, 90):.1f}", "C")]
+    read = spark.createDataFrame(data, READ)
+    # the notes are wrong, and the identity doesn't leave the choice to them
+    got = reading_units(read, spark.createDataFrame([("s", "s", "Bare readings: kelvin and psi.")], "stream string, program string, notes string")).collect()
+    assert [(r["quantity"], r["unit"], r["unique"]) for r in got] == [("temp", "F", True)]
