@@ -30,7 +30,7 @@ LAGS = [-60, 0, *[60 * 2**k / 2 for k in range(1, 16)], 400 * 86_400]
 #: Lag class of a reading that is no date; of one whose site's clock or whose arrival isn't known.
 NEVER, UNKNOWN = 0, 1
 EM_STEPS = 30
-#: Imagined stamps that spread over the readings: evenly in the first run, by the wording of the notes in the second.
+#: Imagined stamps that spread over the readings: evenly in the first run; by the wording of the notes in the second, the more the surer it is.
 IMAGINED, WORDED = 4.0, 20.0
 
 # fixed values: minutes east of UTC of the zone abbreviations programs print
@@ -189,7 +189,10 @@ def source_mixtures(read: DataFrame, clear: float = 0.9) -> DataFrame:
         share = {x: sum((F.col("weights")[i] for i, r in enumerate(READINGS) if r[place] == x), F.lit(0.0)) for x in labels}
         known = first.select("stream", F.coalesce(*[F.when(share[x] >= clear, x) for x in labels]).alias("label"))
         prior = prior.join(wording_prior(said, "stream", "notes", known, labels, seeds).withColumnRenamed("prior", name), "stream")
-    joint = F.array(*[WORDED * F.col("order")[["day", "month"].index(o)] * F.col("clock")[["utc", "site"].index(c)] for o, c in READINGS])
+    joint = [F.col("order")[["day", "month"].index(o)] * F.col("clock")[["utc", "site"].index(c)] for o, c in READINGS]
+    even = 1 / len(READINGS)
+    worth = IMAGINED + (WORDED - IMAGINED) * (F.greatest(*joint) - even) / (1 - even)
+    joint = F.array(*[worth * x for x in joint])
     second = by.drop("notes").join(prior.select("stream", joint.alias("prior")), "stream")
     return second.repartition(tasks, "stream").mapInPandas(_em, _MIXED)
 
