@@ -3,8 +3,9 @@
 A reading's residual is its distance from the readings before and after it, whichever is nearer, once the
 source's daily season is taken off; a lasting change of level leaves one of the two near and is no spike.
 Residuals are scaled by the source's noise. Peaks over a high threshold are fitted with a generalised
-Pareto tail, by quantiles of the excesses so that the spikes themselves don't bend the fit; the tail sets each
-source's cutoff at a fixed risk per reading. Sources with few readings lean on the tail of all sources.
+Pareto tail of free shape by maximum likelihood, mixed with a share of faults spread widely so that the spikes
+themselves don't bend the fit; the tail sets each source's cutoff at a fixed risk per reading. The tail of all
+sources counts as so many readings of every source, so those with few readings lean on it and those with many don't.
 
 The fit needs only histograms of scaled residuals, which add up. A source of any length is cut into
 blocks of hours, each with enough hours of its neighbours to judge its own readings.
@@ -12,6 +13,7 @@ blocks of hours, each with enough hours of its neighbours to judge its own readi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,48 +34,54 @@ SIDE = 6
 #: Histogram of |scaled residual|: BINS of width WIDTH, the last open.
 BINS, WIDTH = 96, 0.125
 CANDIDATE = 3.0
-#: Noise has a tail near the exponential one; a shape outside comes from too few peaks or from mixed noise levels.
-SHAPES = (0.0, 0.03)
-
-
-def gpd_cutoff(hist: np.ndarray, pooled: np.ndarray, risk: float, tail: float = 0.1, lean: float = 2000.0) -> float:
-    """Cutoff of |scaled residual| exceeded with probability ``risk``, from a histogram and that of all sources.
-
-    Peaks over the (1 - tail) quantile u: shape and scale of the generalised Pareto excess from its median
-    and upper quartile. The source's own fit counts n / (n + lean), the pooled one the rest.
+#: Share of residuals that are peaks, and the readings of a source that the tail of all sources counts for.
+TAIL, LEAN = 0.1, 2000.0
+#: Grid of the fit: shapes, scales, shares of faults among the peaks.
+SHAPES = np.linspace(-0.5, 0.6, 45)
+SCALES = np.geomspace(0.1, 4.0, 60)
+FAULTS = np.array([0.0, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3])
+
+
+@functools.lru_cache(maxsize=64)
+def _tail_table(first: int) -> np.ndarray:
+    """Log-probability of each bin from ``first`` on, under every (shape, scale, share of faults) of the grid."""
+    edge = np.append(np.arange(BINS - first) * WIDTH, np.inf)
+    shape, scale = SHAPES[:, None, None], SCALES[None, :, None]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        base = np.maximum(1 + shape * edge / scale, 0.0)
+        beyond = np.where(np.abs(shape) < 1e-9, np.exp(-edge / scale), base ** (-1 / np.where(np.abs(shape) < 1e-9, 1.0, shape)))
+    beyond[..., -1] = 0.0
+    cell = beyond[..., :-1] - beyond[..., 1:]
+    # faults lie anywhere: half of them beyond the last edge
+    fault = np.full(BINS - first, 0.5 / (BINS - first - 1))
+    fault[-1] = 0.5
+    mixed = (1 - FAULTS)[:, None] * cell[:, :, None, :] + FAULTS[:, None] * fault
+    return np.log(np.maximum(mixed, 1e-12)).reshape(-1, BINS - first)
+
+
+def gpd_tail(hist: np.ndarray, pooled: np.ndarray, risk: float, tail: float = TAIL, lean: float = LEAN) -> tuple[float, float, float, float, float]:
+    """(threshold, scale, shape, share of faults, cutoff) of a source's |scaled residuals|, given as a histogram.
+
+    The cutoff is exceeded with probability ``risk``. The histogram of all sources counts as ``lean`` more readings, so there is a
+    tail for any number of own readings. Where there are no readings at all, nothing is judged: nan, and a cutoff of 6.
     """
+    total = pooled.sum()
+    h = hist + (pooled * (lean / total) if total else 0.0)
+    if not h.sum():
+        return (float("nan"),) * 4 + (6.0,)
+    # the bin edge with at most a share ``tail`` beyond it
+    first = min(int(np.searchsorted(np.cumsum(h), (1 - tail) * h.sum())) + 1, BINS - 2)
+    at = int((_tail_table(first) @ h[first:]).argmax())
+    i, j, k = np.unravel_index(at, (len(SHAPES), len(SCALES), len(FAULTS)))
+    shape, scale, faults = float(SHAPES[i]), float(SCALES[j]), float(FAULTS[k])
+    m = risk / max(h[first:].sum() * (1 - faults) / h.sum(), risk)
+    u = first * WIDTH
+    return u, scale, shape, faults, u + (scale / shape * (m**-shape - 1) if abs(shape) > 1e-9 else -scale * np.log(m))
+
 
-    def fit(h: np.ndarray) -> tuple[float, float, float] | None:
-        n = h.sum()
-        if n < 50:
-            return None
-        cum = np.cumsum(h) / n
-
-        def quantile(q: float) -> float:
-            i = int(np.searchsorted(cum, q))
-            low = cum[i - 1] if i else 0.0
-            return (i + (q - low) / max(cum[min(i, len(h) - 1)] - low, 1e-12)) * WIDTH
-
-        u = quantile(1 - tail)
-        q50, q75 = quantile(1 - tail / 2) - u, quantile(1 - tail / 4) - u
-        if q50 <= 0:
-            return None
-        shape = float(np.clip(np.log2(max(q75 - q50, 1e-6) / q50), *SHAPES))
-        scale = q50 * shape / (2**shape - 1) if abs(shape) > 1e-6 else q50 / np.log(2)
-        return u, scale, shape
-
-    def level(f: tuple[float, float, float]) -> float:
-        u, scale, shape = f
-        m = risk / tail
-        return u + (scale / shape * (m**-shape - 1) if abs(shape) > 1e-6 else -scale * np.log(m))
-
-    own, all_ = fit(hist), fit(pooled)
-    if all_ is None:
-        return 6.0 if own is None else level(own)
-    if own is None:
-        return level(all_)
-    w = hist.sum() / (hist.sum() + lean)
-    return w * level(own) + (1 - w) * level(all_)
+def gpd_cutoff(hist: np.ndarray, pooled: np.ndarray, risk: float) -> float:
+    """The cutoff of ``gpd_tail``."""
+    return gpd_tail(hist, pooled, risk)[4]
 
 
 def _row_median(w: np.ndarray) -> np.ndarray:
@@ -216,18 +224,9 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
-def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float = 1e-6) -> DataFrame:
-    """(reading_id, channel) of each impossible, stuck or spiking reading of a channel in PLAUSIBLE.
-
-    readings: reading_id, pump_id, timestamp and the channels; periods: pump_id, start_s, end_s, disjoint
-    downtimes in epoch seconds. Null and -999.0 are outages, never cases, and break runs of equal values.
-    Repeated rows (same reading_id) count once. Rows with a null pump or timestamp have no course to be
-    judged by: of them only impossible values come out. An empty table gives no rows.
-    """
-    chans = list(PLAUSIBLE)
-    base = readings.select(
-        "reading_id", "pump_id", F.unix_seconds("timestamp").alias("ts"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in chans]
-    ).distinct()
+def _judged(readings: DataFrame, periods: DataFrame) -> DataFrame:
+    """A row a channel and block: histogram of scaled residuals, certain cases, candidates for spikes. Written once."""
+    base = _values(readings)
     hour = F.floor(F.col("ts") / 3600)
 
     def blocks(lo: Column, hi: Column) -> Column:
@@ -238,7 +237,7 @@ def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float =
     down = periods.select("pump_id", "start_s", "end_s").withColumn("block", blocks(F.floor(F.col("start_s") / 3600), F.floor(F.col("end_s") / 3600)))
     down = down.groupBy("pump_id", "block").agg(F.collect_list(F.struct("start_s", "end_s")).alias("down"))
     stopped = F.coalesce(F.exists("down", lambda p: (p["start_s"] <= F.col("ts")) & (F.col("ts") < p["end_s"])), F.lit(False))
-    # the join keeps this partitioning, so a block stays together
+    # the join keeps this partitioning, so a block stays together; repeated rows fall out in the block
     judged = (
         placed.repartition(python_partitions(readings), "pump_id", "block")
         .join(down, ["pump_id", "block"], "left")
@@ -247,21 +246,53 @@ def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float =
         .sortWithinPartitions("pump_id", "block", "ts", "reading_id")
         .mapInPandas(_judge, _JUDGED)
     )
-    # the fit and the verdict read it: written once, a row a channel and block
-    judged = materialized(judged, "judged")
-    total = [F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(BINS)]
-    arr = F.array(*[f"h{i}" for i in range(BINS)])
-    by_source = judged.groupBy("channel", "pump_id").agg(*total).select("channel", "pump_id", arr.alias("hist"))
-    # one row a channel
-    pooled = by_source.groupBy("channel").agg(*[F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(BINS)]).select("channel", arr.alias("pooled"))
-
-    @F.pandas_udf("double")
-    def cutoff(hist: pd.Series, pool: pd.Series) -> pd.Series:
-        return pd.Series([gpd_cutoff(np.asarray(h, float), np.asarray(p, float), risk) for h, p in zip(hist, pool)])
+    return materialized(judged, "judged")
+
+
+def _values(readings: DataFrame) -> DataFrame:
+    chans = [F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in PLAUSIBLE]
+    return readings.select("reading_id", "pump_id", F.unix_seconds("timestamp").alias("ts"), *chans)
+
+
+def _tails(judged: DataFrame, risk: float) -> DataFrame:
+    """(channel, pump_id, n, threshold, scale, shape, faults, cut) of every source that has readings."""
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    zero = F.array_repeat(F.lit(0).cast("long"), BINS)
+    # a histogram a block of hours: a short list
+    by_source = judged.groupBy("channel", "pump_id").agg(F.aggregate(F.collect_list("hist"), zero, plus).alias("hist"))
+    bins = judged.select("channel", F.posexplode("hist").alias("bin", "n")).groupBy("channel", "bin").agg(F.sum("n").alias("n"))
+    # a row a channel
+    pooled = bins.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("bin", "n")))["n"].alias("pooled"))
+
+    @F.pandas_udf("threshold double, scale double, shape double, faults double, cut double")
+    def fit(hist: pd.Series, pool: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([gpd_tail(np.asarray(h, float), np.asarray(p, float), risk) for h, p in zip(hist, pool)], columns=["threshold", "scale", "shape", "faults", "cut"])
 
     # else the optimizer runs it once more to filter on its result
-    cutoff = cutoff.asNondeterministic()
-    cut = by_source.join(F.broadcast(pooled), "channel").select("channel", "pump_id", cutoff("hist", "pooled").alias("cut"))
+    fit = fit.asNondeterministic()
+    n = F.aggregate("hist", F.lit(0).cast("long"), lambda t, x: t + x).alias("n")
+    return by_source.join(F.broadcast(pooled), "channel").select("channel", "pump_id", n, fit("hist", "pooled").alias("f")).select("channel", "pump_id", "n", "f.*")
+
+
+def source_tails(readings: DataFrame, periods: DataFrame, risk: float = 1e-6) -> DataFrame:
+    """(channel, pump_id, n, threshold, scale, shape, faults, cut): the fitted tail of every source and channel.
+
+    n counts the residuals other than zero that the source adds of its own; where it is 0 (fewer than 12 readings to judge,
+    all in downtime, or all alike) the tail is that of all sources and nothing of the source is judged by it.
+    """
+    return _tails(_judged(readings, periods), risk)
+
+
+def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float = 1e-6) -> DataFrame:
+    """(reading_id, channel) of each impossible, stuck or spiking reading of a channel in PLAUSIBLE.
+
+    readings: reading_id, pump_id, timestamp and the channels; periods: pump_id, start_s, end_s, disjoint
+    downtimes in epoch seconds. Null and -999.0 are outages, never cases, and break runs of equal values.
+    Repeated rows (same reading_id) count once. Rows with a null pump or timestamp have no course to be
+    judged by: of them only impossible values come out. An empty table gives no rows.
+    """
+    judged = _judged(readings, periods)
+    cut = _tails(judged, risk).select("channel", "pump_id", "cut")
     c = judged.filter(F.size("candidates") > 0).select("channel", "pump_id", F.inline("candidates")).join(cut, ["channel", "pump_id"])
     mid = F.col("z")[SPIKE_HOURS]
     # hours in a row on this side of the cutoff, around the candidate
@@ -281,7 +312,7 @@ def implausible_readings(readings: DataFrame, periods: DataFrame, risk: float =
         .select(F.col("id").alias("reading_id"), "channel")
     )
     certain = judged.select(F.explode("certain").alias("reading_id"), "channel")
-    lost = base.filter("pump_id IS NULL OR ts IS NULL")
+    lost = _values(readings).filter("pump_id IS NULL OR ts IS NULL")
     odd = F.array(
         *[
             F.when((F.col(ch) != OUTAGE) & ((F.col(ch) < lo) | (F.col(ch) > hi)), F.lit(ch))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoal.operators.intervals import downtimes, merge_intervals
 from shoal.operators.loglines import log_entries
-from shoal.operators.spikes import implausible_readings
+from shoal.operators.spikes import implausible_readings, source_tails
 from shoal.operators.stamps import resolve_stamps, source_mixtures, stamp_readings
 from shoal.operators.units import common_units, reading_units, readings
 from shoal.session import materialized
@@ -51,10 +51,19 @@ def p2_unparsed(spark: SparkSession, d: str) -> DataFrame:
     return log_entries(_table(spark, d, "bg_train")).filter("NOT ok").select("line_id", "stream", "line_no", "unparsed")
 
 
+def _downtime(spark: SparkSession, d: str) -> DataFrame:
+    return merge_intervals(downtimes(_table(spark, d, "failure_log")), "pump_id", "start_s", "end_s").filter("kind = 'down'")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Impossible, stuck and spiking readings of each pump."""
-    periods = merge_intervals(downtimes(_table(spark, d, "failure_log")), "pump_id", "start_s", "end_s").filter("kind = 'down'")
-    return implausible_readings(_table(spark, d, "sensor_readings"), periods)
+    return implausible_readings(_table(spark, d, "sensor_readings"), _downtime(spark, d))
+
+
+def p3_tails(spark: SparkSession, d: str) -> DataFrame:
+    """The tail fitted to each pump's residuals, and the cutoff it sets."""
+    t = source_tails(_table(spark, d, "sensor_readings"), _downtime(spark, d))
+    return t.select("pump_id", "channel", "n", *[F.round(c, 6).alias(c) for c in ("threshold", "scale", "shape", "faults", "cut")])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +118,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_unparsed": p2_unparsed,
     "p3_found": p3_found,
+    "p3_tails": p3_tails,
     "p5_found": p5_found,
     "p5_units": p5_units,
     "p6_found": p6_found,

@@ -82,3 +82,26 @@ def test_cutoff_grows_with_noise_and_risk():
     dirty[-1] += 200
     assert abs(gpd_cutoff(dirty, dirty, 1e-6) - gpd_cutoff(one, one, 1e-6)) < 1.0
     assert gpd_cutoff(np.zeros(BINS), np.zeros(BINS), 1e-6) == 6.0
+
+
+def test_the_fitted_tail_decides(spark, monkeypatch):
+    import shoal.operators.spikes as S
+
+    g = np.random.default_rng(3)
+    calm, wild = [], pump("wild", 7, 100_000, 6000)
+    for k in range(5):
+        rows = pump(f"calm{k}", k, 10_000 * k, 3000)
+        for r, e in zip(rows, g.normal(0, 1, 3000)):
+            r[4] = 60.0 + float(e)
+        calm += rows
+    for r, e in zip(wild, g.standard_t(3, 6000)):
+        r[4] = 60.0 + float(e)
+    calm[2000][4] = 60.0 + 12.0
+    df = spark.createDataFrame([tuple(x) for x in calm + wild], SCHEMA)
+    none = spark.createDataFrame([], "pump_id string, start_s long, end_s long")
+    got = {r[0] for r in implausible_readings(df, none).filter("channel = 'bearing_temp_c'").collect()}
+    cut = {r["pump_id"]: r["cut"] for r in S.source_tails(df, none).filter("channel = 'bearing_temp_c'").collect()}
+    assert calm[2000][0] in got and cut["wild"] > cut["calm0"] + 2, cut
+    # a constant in its place flags other readings
+    monkeypatch.setattr(S, "gpd_tail", lambda *a, **k: (float("nan"),) * 4 + (6.0,))
+    assert {r[0] for r in implausible_readings(df, none).filter("channel = 'bearing_temp_c'").collect()} != got
