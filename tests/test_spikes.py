@@ -96,7 +96,7 @@ def test_the_fitted_tail_decides(spark, monkeypatch):
         calm += rows
     for r, e in zip(wild, g.standard_t(3, 6000)):
         r[4] = 60.0 + float(e)
-    calm[2000][4] = 60.0 + 12.0
+    calm[2000][4] = 60.0 + 25.0
     df = spark.createDataFrame([tuple(x) for x in calm + wild], SCHEMA)
     none = spark.createDataFrame([], "pump_id string, start_s long, end_s long")
     got = {r[0] for r in implausible_readings(df, none).filter("channel = 'bearing_temp_c'").collect()}
