@@ -79,8 +79,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an evaluation item's six rarest words within 60 words, in any order."""
-    return near_items(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+    """Documents that hold five of the six rarest words of some 30 words of an evaluation item within 40 words, in any order."""
+    return near_items(_table(spark, d, "documents"), _table(spark, d, "eval_items"), rare=6, need=5, stretch=30, span=40)
 
 
 P8_SQL = r"""
@@ -91,6 +91,23 @@ ig AS (SELECT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+P8_NEAR_SQL = f"""
+WITH dw AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) AS pos FROM documents WHERE text IS NOT NULL),
+cf AS (SELECT term, count(*) AS c FROM dw GROUP BY term),
+it AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+st AS (SELECT item_id, part, w[part + 1 : part + 30] AS w FROM (SELECT item_id, w, unnest(range(0, greatest(0, len(w) - 16) + 1, 15)) AS part FROM it WHERE len(w) > 0)),
+tm AS (SELECT DISTINCT item_id, part, unnest(w) AS term FROM st),
+rk AS (SELECT item_id, part, tm.term, row_number() OVER (PARTITION BY item_id, part ORDER BY coalesce(c, 0), tm.term) AS r FROM tm LEFT JOIN cf ON cf.term = tm.term),
+pl AS (SELECT *, least(5, count(*) OVER (PARTITION BY item_id, part)) AS need FROM rk WHERE r <= 6),
+h AS (SELECT doc_id, item_id, part, need, pl.term, pos FROM pl JOIN dw ON dw.term = pl.term),
+g AS (SELECT a.doc_id, a.item_id, a.part, a.need, a.pos, b.term, min(a.pos - b.pos) AS back
+  FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.part = b.part AND b.pos <= a.pos AND b.pos > a.pos - 40 GROUP BY ALL),
+n AS (SELECT doc_id, item_id, part, need, pos, list_sort(list(back)) AS backs FROM g GROUP BY ALL HAVING count(*) >= need)
+SELECT doc_id, item_id, min(backs[need] + 1) AS width FROM n GROUP BY doc_id, item_id
+"""
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """Each record drawn for the mixture, with its size in tokens and its copies."""
     return mixture(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
@@ -139,4 +156,4 @@ QUERIES = {
     "p10_levels": p10_levels,
     "p10_validation": p10_validation,
 }
-SQL = {"p4_found": P4_FOUND_SQL, "p4_pairs": P4_PAIRS_SQL, "p4_significant": P4_SIGNIFICANT_SQL, "p8_found": P8_SQL}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_pairs": P4_PAIRS_SQL, "p4_significant": P4_SIGNIFICANT_SQL, "p8_found": P8_SQL, "p8_near": P8_NEAR_SQL}

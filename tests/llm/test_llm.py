@@ -42,7 +42,8 @@ def test_pairs_against_brute_force(spark, monkeypatch):
 
 
 def test_leaks_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "ITEM_BLOCK", 4)
+    monkeypatch.setattr(leaks, "HOLD", 900)
+    monkeypatch.setattr(leaks, "LONG", 20)
     rnd = random.Random(2)
     vocab = [f"w{i}" for i in range(30)] + ["The", "the", "Été", "x1"]
     text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
