@@ -109,8 +109,9 @@ def _counted(words: DataFrame, index: DataFrame) -> DataFrame:
     return every.join(counts, "term", "left").groupBy("item_id", "copy").agg(F.array_sort(F.collect_list(one)).alias("w")).drop("copy")
 
 
-def _lists(index: DataFrame, name: str) -> DataFrame:
-    return index.filter("term IS NOT NULL").select(F.col("term").alias(f"t{name}"), "shard", F.col("places").alias(f"l{name}"))
+def _lists(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(t, shard, l): the posting lists of some terms. terms come from a written table, so the optimizer knows whether they can be broadcast."""
+    return index.filter("term IS NOT NULL").select(F.col("term").alias("t"), "shard", F.col("places").alias("l")).join(terms.distinct(), "t", "left_semi")
 
 
 def phrase_plans(counted: DataFrame, words: int) -> DataFrame:
@@ -139,12 +140,12 @@ def leaked_items(
     """
     index = build_index(docs, doc_id, text) if index is None else index
     split = materialized(_item_words(items, item_id, item_text), "items")
-    hits = phrase_plans(_counted(split, index), words).join(_lists(index, "0"), "t0")
-    hits = hits.withColumn("hit", F.col("l0")).drop("l0")
+    plans = materialized(phrase_plans(_counted(split, index), words), "plans")
+    hits = plans.join(_lists(index, plans.select(F.col("t0").alias("t"))).select(F.col("t").alias("t0"), "shard", F.col("l").alias("hit")), "t0")
     for k in range(1, min(PROBES, words)):
-        hits = hits.join(_lists(index, str(k)), [f"t{k}", "shard"])
-        back = F.transform(f"l{k}", _shifted(F.col(f"a{k}") - F.col("a0")))
-        hits = hits.withColumn("hit", F.array_intersect("hit", back)).drop(f"l{k}").filter(F.size("hit") > 0)
+        lists = _lists(index, plans.select(F.col(f"t{k}").alias("t"))).select(F.col("t").alias(f"t{k}"), "shard", "l")
+        back = F.transform("l", _shifted(F.col(f"a{k}") - F.col("a0")))
+        hits = hits.join(lists, [f"t{k}", "shard"]).withColumn("hit", F.array_intersect("hit", back)).drop("l").filter(F.size("hit") > 0)
     hits = hits.select("item_id", "shard", "a0", F.explode("hit").alias("hit"))
     ids = index.filter("term IS NULL").select("shard", F.posexplode("ids").alias("doc", "id"))
     found = hits.withColumn("doc", F.shiftright("hit", 31).cast("int")).join(ids, ["shard", "doc"])
@@ -229,7 +230,8 @@ def near_items(
     terms = F.slice(F.array_sort(F.array_distinct(F.transform("w", lambda x: F.struct(x["c"].alias("c"), x["term"].alias("term"))))), 1, rare)
     plans = parts.select("item_id", "part", terms.alias("terms")).withColumn("need", F.least(F.size("terms"), F.lit(need or rare)))
     plans = plans.select("item_id", "part", "need", F.explode("terms").alias("x")).select("item_id", "part", "need", F.col("x")["term"].alias("t"))
-    hits = plans.join(_lists(index, ""), "t").groupBy("item_id", "part", "need", "shard").agg(F.collect_list("l").alias("lists"))
+    plans = materialized(plans, "plans")
+    hits = plans.join(_lists(index, plans.select("t")), "t").groupBy("item_id", "part", "need", "shard").agg(F.collect_list("l").alias("lists"))
     hits = hits.filter(F.size("lists") >= F.col("need"))
 
     def closest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
