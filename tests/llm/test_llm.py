@@ -12,7 +12,7 @@ from shoal.llm import leaks
 from shoal.llm.cooccur import item_pairs
 from shoal.llm.leaks import leaked_items, near_items, words_of
 from shoal.llm.mixing import actual_shares, draw_mixture, plan_mixture, token_counts, water_fill
-from shoal.llm.reading import Trees, features, fit_reading_model, isotonic, language, reading_levels
+from shoal.llm.reading import Lexicon, Trees, features, fit_reading_model, isotonic, letter_models, reading_levels, word_spread
 
 
 def test_pairs_against_brute_force(spark, monkeypatch):
@@ -174,8 +174,25 @@ def test_reading_levels(spark):
     assert reading_levels(d.limit(0), model).count() == 0
 
 
-def test_language():
-    assert language("die pumpe war nicht im lager und wir haben sie gefunden".split()) == "de"
-    assert language("la pompe est restée dans le local pour les équipes".split()) == "fr"
-    assert language([]) == "" and language("qz hx kv tt".split()) == ""
-    assert features("too short") is None
+def test_letter_models_tell_languages(spark):
+    said = {
+        "en": ["the pump was out of order and we had to fetch another one from the store", "nobody knew why the valve had been left open over night"],
+        "de": ["die pumpe war nicht im lager und wir haben sie nicht gefunden", "niemand wusste warum das ventil über nacht offen war"],
+        "fr": ["la pompe est restée dans le local pour les équipes de nuit", "personne ne savait pourquoi la vanne était ouverte"],
+    }
+    rows = [(10 * i + k, t, " " + lang.upper() + "-x") for i, (lang, ts) in enumerate(said.items()) for k, t in enumerate(ts)] + [(90, None, "en"), (91, "die pumpe", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lex = Lexicon(word_spread(docs), letter_models(docs, docs.filter("doc_id = 0").select("doc_id")))
+    new = ["the store had the other valve and the pump was left out there", "wir wussten nicht warum die pumpe im lager nicht offen war", "la vanne est ouverte pour les équipes dans le local", "QZ-1 HN-2 KV-3 XX-4 ZQ-5 NH-6 VK-7 WX-8", "too short", "", None]
+    x, reason = features(new, lex)
+    assert list(reason) == ["", "not English", "not English", "not English", "too short", "no text", "no text"]
+    assert np.isfinite(x).all() and (features(["a b " * 200_000], lex)[0][0, 0] == np.log(400_000))
+
+
+def test_features_by_hand(spark):
+    docs = spark.createDataFrame([(1, "aa bb. cc dd ee aa"), (2, "aa")], "doc_id long, text string")
+    lex = Lexicon(word_spread(docs), np.ones((1, 1 << 15)))
+    x = dict(zip(["log_words", "words_per_sentence", "sentence_p25", "sentence_p50"], features(["aa bb. cc dd ee aa, aa bb cc! dd"], lex)[0][0]))
+    assert x == {"log_words": np.log(10), "words_per_sentence": 10 / 3, "sentence_p25": 1.0, "sentence_p50": 2.0}
+    # aa is in both documents, bb in one
+    assert lex.facts("aa")[2] == 0.0 and abs(lex.facts("bb")[2] - np.log(1.5 / 2.5)) < 1e-6
