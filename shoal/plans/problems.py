@@ -11,20 +11,27 @@ from shoal.operators.spikes import implausible_readings, source_tails
 from shoal.operators.stamps import resolve_stamps, source_mixtures, stamp_readings
 from shoal.operators.units import common_units, reading_units, readings
 from shoal.session import materialized
-from shoal.streaming.redelivery import find_redeliveries
+from shoal.streaming.redelivery import delivery_kinds, find_redeliveries
+
+
+MESSAGE = {
+    "key": ["user_id", "item_id", "event_type", "timestamp"],
+    "event_time": "timestamp",
+    "arrived": "received_at",
+    "row_id": "row_id",
+    "required": ["user_id", "timestamp"],
+}
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """row_id of each delivery of a shopper message but its first."""
-    return find_redeliveries(
-        spark,
-        f"{d}/rr_train.parquet",
-        key=["user_id", "item_id", "event_type", "timestamp"],
-        event_time="timestamp",
-        arrived="received_at",
-        row_id="row_id",
-        required=["user_id", "timestamp"],
-    )
+    return find_redeliveries(spark, f"{d}/rr_train.parquet", **MESSAGE)
+
+
+def p1_store(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows the store settled as repeats, set aside as late, and let go to the archive."""
+    kind = F.element_at(F.array(F.lit("repeat"), F.lit("late"), F.lit("expired")), F.col("kind"))
+    return delivery_kinds(spark, f"{d}/rr_train.parquet", **MESSAGE).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 P1_SQL = r"""
@@ -115,6 +122,7 @@ def p7_unresolved(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_store": p1_store,
     "p2_found": p2_found,
     "p2_unparsed": p2_unparsed,
     "p3_found": p3_found,
