@@ -37,8 +37,8 @@ CANDIDATE = 3.0
 #: Share of residuals that are peaks, and the readings of a source that the tail of all sources counts for.
 TAIL, LEAN = 0.1, 2000.0
 #: Grid of the fit: shapes, scales, shares of faults among the peaks.
-SHAPES = np.linspace(-0.5, 0.6, 45)
-SCALES = np.geomspace(0.1, 4.0, 60)
+SHAPES = np.linspace(-0.5, 0.6, 23)
+SCALES = np.geomspace(0.1, 4.0, 48)
 FAULTS = np.array([0.0, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3])
 
 
@@ -271,6 +271,8 @@ def _tails(judged: DataFrame, risk: float) -> DataFrame:
     # else the optimizer runs it once more to filter on its result
     fit = fit.asNondeterministic()
     n = F.aggregate("hist", F.lit(0).cast("long"), lambda t, x: t + x).alias("n")
+    # fitting is bound by CPU, not by size
+    by_source = by_source.repartition(python_partitions(judged), "pump_id")
     return by_source.join(F.broadcast(pooled), "channel").select("channel", "pump_id", n, fit("hist", "pooled").alias("f")).select("channel", "pump_id", "n", "f.*")
 
 

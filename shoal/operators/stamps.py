@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.operators.wording import wording_prior
+from shoal.operators.wording import runs_of_words, wording_prior
 from shoal.session import materialized, python_partitions
 
 READINGS = [("day", "utc"), ("day", "site"), ("month", "utc"), ("month", "site")]
@@ -78,9 +78,8 @@ ORDER_WORDS = {"day": ["day before", "with the day", "dd/mm"], "month": ["month
 def _lag_class(ms: Column, arrived: Column, place_known: Column) -> Column:
     """Class of the lag: NEVER, UNKNOWN, or 2 + the place in LAGS."""
     lag = (arrived - ms) / 1000
-    c = F.lit(len(LAGS) + 2)
-    for i in reversed(range(len(LAGS))):
-        c = F.when(lag < LAGS[i], i + 2).otherwise(c)
+    doubled = F.least(F.floor(F.log2(lag / 60)), F.lit(len(LAGS) - 4)).cast("int") + 5
+    c = F.when(lag < LAGS[0], 2).when(lag < 0, 3).when(lag < 60, 4).when(lag < LAGS[-1], doubled).otherwise(len(LAGS) + 2)
     return F.when(~place_known, UNKNOWN).when(ms.isNull(), NEVER).when(arrived.isNull(), UNKNOWN).otherwise(c)
 
 
@@ -114,7 +113,10 @@ def stamp_readings(entries: DataFrame, streams: DataFrame, sites: DataFrame) ->
     told = kind.eqNullSafe("epoch") | F.col("zone").isNotNull()
     arrived = F.unix_millis("arrived")
     placed = F.coalesce(F.col("tz_name"), F.col("utc_offset_min").cast("string")).isNotNull()
-    at = [F.col(order) if clock == "utc" else on_site(F.col(order)) for order, clock in READINGS]
+    slashed = kind.isin("slash24", "slash12")
+    e = e.withColumn("site_day", on_site(F.col("day")))
+    e = e.withColumn("site_month", F.when(slashed, on_site(F.col("month"))).otherwise(F.col("site_day")))
+    at = [F.col(order if clock == "utc" else f"site_{order}") for order, clock in READINGS]
     e = e.withColumn("fixed", F.coalesce(epoch, zoned)).withColumn("at", F.when(~told, F.array(*at)))
     cls = [
         _lag_class(F.col("at")[i], arrived, placed | F.lit(clock == "utc") | F.col(order).isNull()) for i, (order, clock) in enumerate(READINGS)
@@ -184,11 +186,12 @@ def source_mixtures(read: DataFrame, clear: float = 0.9) -> DataFrame:
     first = by.withColumn("prior", flat).drop("notes").repartition(tasks, "stream").mapInPandas(_em, _MIXED)
     first = materialized(first.select("stream", "weights"), "mixtures")
     said = by.select("stream", "notes")
+    grams = runs_of_words(said, "stream", "notes")
     prior = said.select("stream")
     for name, place, labels, seeds in (("order", 0, ["day", "month"], ORDER_WORDS), ("clock", 1, ["utc", "site"], CLOCK_WORDS)):
         share = {x: sum((F.col("weights")[i] for i, r in enumerate(READINGS) if r[place] == x), F.lit(0.0)) for x in labels}
         known = first.select("stream", F.coalesce(*[F.when(share[x] >= clear, x) for x in labels]).alias("label"))
-        prior = prior.join(wording_prior(said, "stream", "notes", known, labels, seeds).withColumnRenamed("prior", name), "stream")
+        prior = prior.join(wording_prior(said, "stream", "notes", known, labels, seeds, grams).withColumnRenamed("prior", name), "stream")
     joint = [F.col("order")[["day", "month"].index(o)] * F.col("clock")[["utc", "site"].index(c)] for o, c in READINGS]
     even = 1 / len(READINGS)
     worth = IMAGINED + (WORDED - IMAGINED) * (F.greatest(*joint) - even) / (1 - even)
@@ -203,37 +206,31 @@ def resolve_stamps(read: DataFrame, mixtures: DataFrame, odds: float = 20.0) ->
     utc_ms is null and unresolved true where no reading's instant is ``odds`` times as likely as the next
     other instant. Stamps that are no date, or whose site's clock is needed and unknown, don't come out.
     """
-    j = read.join(mixtures, "stream", "left").withColumn("most", F.array_max(F.transform("cls", lambda c: F.element_at("like", c + 1))))
-    j = j.withColumn("most", F.when(F.col("most") > 0, F.col("most")).otherwise(1.0))
-    scored = F.zip_with(
-        "at",
-        F.zip_with("cls", "weights", lambda c, w: F.when(c == UNKNOWN, F.col("most")).otherwise(F.element_at("like", c + 1)) * w),
-        lambda a, s: F.struct(s.alias("s"), a.alias("a")),
-    )
+    # mixtures has one row a source
+    n = range(len(READINGS))
+    like = [F.element_at("like", F.col("cls")[k] + 1) for k in n]
+    j = read.join(mixtures, "stream", "left").select("line_id", "fixed", "at", "cls", "weights", *[x.alias(f"like{k}") for k, x in enumerate(like)])
+    most = F.greatest(*[F.col(f"like{k}") for k in n])
+    most = F.when(most > 0, most).otherwise(1.0)
     # NEVER counts for nothing; readings on an unknown clock are one option, without an instant
-    j = j.withColumn("opt", F.filter(scored, lambda x: x["s"] > 0))
+    j = j.withColumn("most", most).select(
+        "line_id", "fixed",
+        *[F.col("at")[k].alias(f"a{k}") for k in n],
+        *[(F.when(F.col("cls")[k] == UNKNOWN, F.col("most")).otherwise(F.col(f"like{k}")) * F.col("weights")[k]).alias(f"s{k}") for k in n],
+    )
     # readings of one instant count together
-    instants = F.array_distinct(F.transform("opt", lambda x: x["a"]))
-    j = j.withColumn(
-        "opt",
-        F.reverse(
-            F.array_sort(
-                F.transform(
-                    instants,
-                    lambda a: F.struct(
-                        F.aggregate(F.filter("opt", lambda x: x["a"].eqNullSafe(a)), F.lit(0.0), lambda t, x: t + x["s"]).alias("s"), a.alias("a")
-                    ),
-                )
-            )
-        ),
-    )
-    first, second = F.try_element_at("opt", F.lit(1)), F.try_element_at("opt", F.lit(2))
-    total = F.aggregate("opt", F.lit(0.0), lambda t, x: t + x["s"])
-    clear = second.isNull() | (first["s"] >= second["s"] * odds)
+    for k in n:
+        same = [F.when(F.col(f"a{i}").eqNullSafe(F.col(f"a{k}")), F.col(f"s{i}")).otherwise(0.0) for i in n]
+        j = j.withColumn(f"t{k}", sum(same[1:], same[0]))
+    first = F.greatest(*[F.when(F.col(f"s{k}") > 0, F.struct(F.col(f"t{k}").alias("s"), F.col(f"a{k}").alias("a"))) for k in n])
+    total = sum((F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in n[1:]), F.coalesce(F.col("s0"), F.lit(0.0)))
+    j = j.withColumn("first", first).withColumn("total", total)
+    second = F.greatest(F.lit(0.0), *[F.when(~F.col(f"a{k}").eqNullSafe(F.col("first.a")), F.col(f"t{k}")) for k in n])
+    clear = F.col("first.s") >= second * odds
     out = j.select(
         "line_id",
-        F.coalesce("fixed", F.when(clear, first["a"])).alias("utc_ms"),
-        F.when(F.col("fixed").isNotNull(), 1.0).otherwise(F.try_divide(first["s"], total)).alias("posterior"),
-        F.coalesce(F.col("fixed").isNull() & first.isNotNull() & ~clear, F.lit(False)).alias("unresolved"),
+        F.coalesce("fixed", F.when(clear, F.col("first.a"))).alias("utc_ms"),
+        F.when(F.col("fixed").isNotNull(), 1.0).otherwise(F.try_divide("first.s", "total")).alias("posterior"),
+        F.coalesce(F.col("fixed").isNull() & F.col("first").isNotNull() & ~clear, F.lit(False)).alias("unresolved"),
     )
     return out.filter(F.col("utc_ms").isNotNull() | F.col("unresolved"))

@@ -19,7 +19,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.operators.wording import wording_prior
+from shoal.operators.wording import runs_of_words, wording_prior
 from shoal.session import materialized
 
 # fixed values: (offset added first, factor) to tenths of a degree Celsius or of a kilopascal; 1 psi = 6.894757 kPa
@@ -120,6 +120,9 @@ def reading_units(read: DataFrame, streams: DataFrame) -> DataFrame:
     solved = solve_units(wide, "stream", units, same, paired=False, linked=[("packed_temp", "packed_pres")], scores=True)
     solved = materialized(solved, "solved")
     notes = streams.groupBy("stream").agg(F.max_by("notes", F.coalesce(F.length("notes"), F.lit(-1))).alias("notes"))
+    # what follows the name of a scale speaks of point-less numbers
+    bare = notes.withColumn("notes", F.regexp_replace("notes", r"(?i)\b(?:tenths|hundredths)\b[^.]*", ""))
+    bare_grams, all_grams = runs_of_words(bare, "stream", "notes"), runs_of_words(notes, "stream", "notes")
     out = None
     for group, names, seeds in (
         (["bare_temp"], CLASSES["bare"]["temp"], UNIT_NAMES["temp"]),
@@ -127,9 +130,8 @@ def reading_units(read: DataFrame, streams: DataFrame) -> DataFrame:
         (["packed_temp", "packed_pres"], CLASSES["packed"]["temp"], SCALE_NAMES),
     ):
         first = group[0]
-        # what follows the name of a scale speaks of point-less numbers
-        text = F.regexp_replace("notes", r"(?i)\b(?:tenths|hundredths)\b[^.]*", "") if seeds is not SCALE_NAMES else F.col("notes")
-        prior = wording_prior(notes.withColumn("notes", text), "stream", "notes", solved.select("stream", F.col(f"{first}_unit").alias("label")), names, seeds)
+        known = solved.select("stream", F.col(f"{first}_unit").alias("label"))
+        prior = wording_prior(notes, "stream", "notes", known, names, seeds, all_grams if seeds is SCALE_NAMES else bare_grams)
         scored = solved.join(prior, "stream", "left")
         # the log-likelihood of each unit with the notes counted in
         both = F.array_sort(

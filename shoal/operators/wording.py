@@ -10,11 +10,16 @@ Counts are sums by run of words, combined before the shuffle; the table of runs
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.session import materialized
+
+_WORD = re.compile(r"(?:[^\W_]|[/°])+")
 RUN = 4
 SEED = 50.0
 SMOOTH = 2.0
@@ -22,24 +27,34 @@ SMOOTH = 2.0
 SURE = 3.0
 
 
-def runs_of_words(text: Column) -> Column:
-    """The distinct runs of 1 to RUN words of a text, in lower case; empty for a null text."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}/°]+"), lambda w: w != "")
+def runs_of_words(texts: DataFrame, source: str, text: str) -> DataFrame:
+    """(source, gram): the distinct runs of 1 to RUN words of each source's text, in lower case; a null text has none.
+
+    Written once, as the prior of every question put to the texts reads it.
+    """
+    kind = texts.schema[source].dataType.simpleString()
 
-    def of_length(n: int) -> Column:
-        return F.transform(words, lambda w, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " ")))
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            for key, t in zip(pdf["source"], pdf["text"]):
+                w = _WORD.findall(t.lower())
+                rows += [(key, g) for g in {" ".join(w[i : i + n]) for n in range(1, RUN + 1) for i in range(len(w) - n + 1)}]
+            yield pd.DataFrame(rows, columns=["source", "gram"])
 
-    runs = [of_length(n) for n in range(1, RUN + 1)]
-    return F.filter(F.array_distinct(F.concat(*runs)), lambda g: g.isNotNull())
+    picked = texts.select(F.col(source).alias("source"), F.col(text).alias("text")).filter("source IS NOT NULL AND text IS NOT NULL")
+    return materialized(picked.mapInPandas(split, f"source {kind}, gram string").withColumnRenamed("source", source), "grams")
 
 
-def wording_prior(texts: DataFrame, source: str, text: str, known: DataFrame, labels: Sequence[str], seeds: Mapping[str, Sequence[str]]) -> DataFrame:
+def wording_prior(
+    texts: DataFrame, source: str, text: str, known: DataFrame, labels: Sequence[str], seeds: Mapping[str, Sequence[str]], grams: DataFrame | None = None
+) -> DataFrame:
     """(source, prior): prior[i] is the probability of labels[i] by the source's text, for every source of ``texts``.
 
-    known: (source, label) of the sources whose data decide; a null label teaches nothing. seeds: label -> words or
+    grams: what ``runs_of_words`` made of the texts, where it is there already. known: (source, label) of the sources whose data decide; a null label teaches nothing. seeds: label -> words or
     runs of words. A text without any known word, or null, gives the labels' base rates. One row a source is expected.
     """
-    grams = texts.select(source, F.explode(runs_of_words(F.col(text))).alias("gram"))
+    grams = runs_of_words(texts, source, text) if grams is None else grams
     told = known.filter(F.col("label").isNotNull()).select(source, "label")
     hits = [F.count(F.when(F.col("label") == x, 1)).cast("double") for x in labels]
     base = told.agg(*[(h + 1.0).alias(f"b{i}") for i, h in enumerate(hits)])

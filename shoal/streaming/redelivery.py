@@ -178,7 +178,7 @@ def delivery_kinds(
     **options: str,
 ) -> DataFrame:
     """What the store told of the deliveries: (kind, h1, h2, arrived, row_id) of kind REPEAT, LATE or EXPIRED. Arguments as in ``find_redeliveries``."""
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     table = spark.read.parquet(path)
     schema = table.schema
     need = list(dict.fromkeys([*key, event_time, arrived, row_id]))
@@ -244,6 +244,6 @@ def find_redeliveries(
     rows. The event time must be part of the key. The table is streamed in order of arrival, in ``commits`` commits or about as many; with options
     (maxFilesPerTrigger, maxBytesPerTrigger: input per commit) its files are streamed as they are. A key of the store
     holds its share of the identifiers of a slot, 40 bytes each: choose buckets so that it stays at some megabytes
-    (one a shuffle partition by default).
+    (a quarter of the shuffle partitions by default).
     """
     return late_lookup(delivery_kinds(spark, path, key, event_time, arrived, row_id, required, delay, buckets, commits, **options))
