@@ -50,24 +50,47 @@ def zone_minutes(zone: Column) -> Column:
     return F.when(zone.rlike(m), offset).otherwise(F.element_at(names, zone))
 
 
-def local_millis(kind: Column, stamp: Column, order: str) -> Column:
-    """The stamp's wall-clock reading as if it were UTC, in milliseconds; null where it is no date."""
-
-    def at(pattern: str, iso: str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-        # try_to_timestamp is null for a stamp that is no date under this pattern
-        return F.unix_millis(F.try_to_timestamp(F.regexp_replace(stamp, pattern, iso), F.lit(fmt)))
-
-    d, m = ("$1", "$2") if order == "day" else ("$2", "$1")
-    frac = F.rpad(F.regexp_extract(stamp, r"\.(\d+)$", 1), 3, "0").try_cast("long")
-    return (
-        F.when(kind == "iso", at(r"^(.{10})T(.{8}).*$", "$1 $2") + F.coalesce(F.when(stamp.contains("."), frac), F.lit(0)))
-        .when(kind == "plain", at("^(.*)$", "$1"))
-        .when(kind == "dmon", at("^(.*)$", "$1", "dd-MMM-yyyy HH:mm:ss"))
-        .when(kind == "14", at(r"^(\d{4})(..)(..)(..)(..)(..)$", "$1-$2-$3 $4:$5:$6"))
-        .when(kind == "packed", at(r"^(..)(..)(..)(..)(..)$", "20$1-$2-$3 $4:$5:00"))
-        .when(kind == "slash24", at(r"^(..)/(..)/(....) (..):(..)$", f"$3-{m}-{d} $4:$5:00"))
-        .when(kind == "slash12", at(r"^(..)/(..)/(..) (..):(..)(..)$", f"20$3-{m}-{d} $4:$5:00 $6", "yyyy-MM-dd hh:mm:ss a"))
-    )
+# fixed values: where each kind of stamp holds (year, month or first number, day or second number, hour, minute, second): (first character, length)
+PLACES = {
+    "iso": ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2)),
+    "plain": ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2)),
+    "dmon": ((8, 4), (4, 3), (1, 2), (13, 2), (16, 2), (19, 2)),
+    "14": ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2)),
+    "packed": ((1, 2), (3, 2), (5, 2), (7, 2), (9, 2), None),
+    "slash24": ((7, 4), (4, 2), (1, 2), (12, 2), (15, 2), None),
+    "slash12": ((7, 2), (4, 2), (1, 2), (10, 2), (13, 2), None),
+}
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
+def stamp_parts(kind: Column, stamp: Column) -> dict[str, Column]:
+    """Numbers of a stamp: y, m, d (slash dates read with the day first), h, n, s, and ms within the second; null where they are no numbers."""
+    out = {}
+    for i, name in enumerate("ymdhns"):
+        c = F.lit(None).cast("int")
+        for k, places in PLACES.items():
+            at = places[i]
+            part = F.lit(0) if at is None else F.substring(stamp, *at)
+            if k == "dmon" and name == "m":
+                where = F.instr(F.lit(MONTHS), part)
+                part = F.when(where % 3 == 1, ((where + 2) / 3).cast("int"))
+            elif at is not None:
+                part = part.try_cast("int")
+            if name == "y" and at[1] == 2:
+                part = part + 2000
+            if k == "slash12" and name == "h":
+                # 12 o'clock is the first hour of either half
+                part = F.when((part >= 1) & (part <= 12), part % 12 + F.when(F.substring(stamp, 15, 1) == "P", 12).otherwise(0))
+            c = F.when(kind == k, part).otherwise(c)
+        out[name] = c
+    dot = F.instr(stamp, ".")
+    out["ms"] = F.when((kind == "iso") & (dot > 0), F.rpad(F.substring(stamp, 21, 3), 3, "0").try_cast("int")).otherwise(0)
+    return out
+
+
+def _instant(y: Column, m: Column, d: Column) -> Column:
+    """The wall-clock reading as if it were UTC, in milliseconds; null where it is no date."""
+    return F.unix_millis(F.try_make_timestamp(y, m, d, F.col("h"), F.col("n"), F.col("s"), F.lit("UTC"))) + F.col("ms")
 
 
 # fixed values: words that notes say such things with, to begin with
@@ -100,8 +123,10 @@ def stamp_readings(entries: DataFrame, streams: DataFrame, sites: DataFrame) ->
     digits = F.length(stamp)
     epoch = F.when(kind == "epoch", stamp.try_cast("long"))
     epoch = F.when(digits <= 11, epoch * 1000).when(digits <= 14, epoch).otherwise(F.floor(epoch / 1000))
-    e = e.withColumn("day", local_millis(kind, stamp, "day"))
-    e = e.withColumn("month", F.when(kind.isin("slash24", "slash12"), local_millis(kind, stamp, "month")).otherwise(F.col("day")))
+    slashed = kind.isin("slash24", "slash12")
+    e = e.select("*", *[c.alias(k) for k, c in stamp_parts(kind, stamp).items()])
+    e = e.withColumn("day", _instant(F.col("y"), F.col("m"), F.col("d")))
+    e = e.withColumn("month", F.when(slashed, _instant(F.col("y"), F.col("d"), F.col("m"))).otherwise(F.col("day")))
     offset = zone_minutes(F.col("zone"))
     zoned = F.when(F.col("zone").isNotNull(), F.col("day") - offset * 60_000)
 
@@ -113,7 +138,6 @@ def stamp_readings(entries: DataFrame, streams: DataFrame, sites: DataFrame) ->
     told = kind.eqNullSafe("epoch") | F.col("zone").isNotNull()
     arrived = F.unix_millis("arrived")
     placed = F.coalesce(F.col("tz_name"), F.col("utc_offset_min").cast("string")).isNotNull()
-    slashed = kind.isin("slash24", "slash12")
     e = e.withColumn("site_day", on_site(F.col("day")))
     e = e.withColumn("site_month", F.when(slashed, on_site(F.col("month"))).otherwise(F.col("site_day")))
     at = [F.col(order if clock == "utc" else f"site_{order}") for order, clock in READINGS]
@@ -206,31 +230,36 @@ def resolve_stamps(read: DataFrame, mixtures: DataFrame, odds: float = 20.0) ->
     utc_ms is null and unresolved true where no reading's instant is ``odds`` times as likely as the next
     other instant. Stamps that are no date, or whose site's clock is needed and unknown, don't come out.
     """
-    # mixtures has one row a source
     n = range(len(READINGS))
-    like = [F.element_at("like", F.col("cls")[k] + 1) for k in n]
-    j = read.join(mixtures, "stream", "left").select("line_id", "fixed", "at", "cls", "weights", *[x.alias(f"like{k}") for k, x in enumerate(like)])
-    most = F.greatest(*[F.col(f"like{k}") for k in n])
-    most = F.when(most > 0, most).otherwise(1.0)
-    # NEVER counts for nothing; readings on an unknown clock are one option, without an instant
-    j = j.withColumn("most", most).select(
+    # mixtures has one row a source
+    j = read.join(mixtures, "stream", "left").select(
         "line_id", "fixed",
-        *[F.col("at")[k].alias(f"a{k}") for k in n],
-        *[(F.when(F.col("cls")[k] == UNKNOWN, F.col("most")).otherwise(F.col(f"like{k}")) * F.col("weights")[k]).alias(f"s{k}") for k in n],
+        *[F.col("at")[k].cast("double").alias(f"a{k}") for k in n],
+        *[F.when(F.col("cls")[k] == UNKNOWN, -1.0).otherwise(F.element_at("like", F.col("cls")[k] + 1)).alias(f"l{k}") for k in n],
+        *[F.col("weights")[k].alias(f"w{k}") for k in n],
     )
-    # readings of one instant count together
-    for k in n:
-        same = [F.when(F.col(f"a{i}").eqNullSafe(F.col(f"a{k}")), F.col(f"s{i}")).otherwise(0.0) for i in n]
-        j = j.withColumn(f"t{k}", sum(same[1:], same[0]))
-    first = F.greatest(*[F.when(F.col(f"s{k}") > 0, F.struct(F.col(f"t{k}").alias("s"), F.col(f"a{k}").alias("a"))) for k in n])
-    total = sum((F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in n[1:]), F.coalesce(F.col("s0"), F.lit(0.0)))
-    j = j.withColumn("first", first).withColumn("total", total)
-    second = F.greatest(F.lit(0.0), *[F.when(~F.col(f"a{k}").eqNullSafe(F.col("first.a")), F.col(f"t{k}")) for k in n])
-    clear = F.col("first.s") >= second * odds
-    out = j.select(
-        "line_id",
-        F.coalesce("fixed", F.when(clear, F.col("first.a"))).alias("utc_ms"),
-        F.when(F.col("fixed").isNotNull(), 1.0).otherwise(F.try_divide("first.s", "total")).alias("posterior"),
-        F.coalesce(F.col("fixed").isNull() & F.col("first").isNotNull() & ~clear, F.lit(False)).alias("unresolved"),
-    )
-    return out.filter(F.col("utc_ms").isNotNull() | F.col("unresolved"))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, like, w = (pdf[[f"{c}{k}" for k in n]].to_numpy(float) for c in "alw")
+            most = like.max(axis=1, initial=0.0, keepdims=True, where=like >= 0)
+            # an unknown clock is as likely as the likeliest known reading; NEVER counts for nothing
+            s = np.nan_to_num(np.where(like < 0, np.where(most > 0, most, 1.0), like) * w)
+            # readings of one instant count together; those on an unknown clock are one option, without an instant
+            mark = np.where(np.isnan(at), -np.inf, at)
+            t = np.stack([np.where(mark == mark[:, [k]], s, 0.0).sum(axis=1) for k in n], axis=1)
+            t = np.where(s > 0, t, 0.0)
+            best = np.lexsort((-mark, -t))[:, 0] if len(pdf) else np.zeros(0, int)
+            rows = np.arange(len(pdf))
+            first, top = mark[rows, best], t[rows, best]
+            second = np.where(mark == first[:, None], 0.0, t).max(axis=1, initial=0.0)
+            told = pdf["fixed"].notna().to_numpy()
+            clear = (top > 0) & (top >= second * odds)
+            out = pd.DataFrame({"line_id": pdf["line_id"]})
+            found = pd.Series(np.where(clear & np.isfinite(first), first, np.nan), out.index)
+            out["utc_ms"] = pdf["fixed"].astype("Int64").where(told, found.round().astype("Int64"))
+            out["posterior"] = np.where(told, 1.0, top / np.maximum(s.sum(axis=1), 1e-300))
+            out["unresolved"] = ~told & (top > 0) & ~clear
+            yield out[out["utc_ms"].notna() | out["unresolved"]]
+
+    return j.mapInPandas(pick, f"line_id {read.schema['line_id'].dataType.simpleString()}, utc_ms long, posterior double, unresolved boolean")
