@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -120,9 +120,12 @@ def co_occurrence(df: DataFrame, basket: str, item: str, least: int = 1, hold: i
 
         for pdf in batches:
             for basket_items in pdf["items"]:
-                held.update(combinations(sorted(basket_items), 2))
-                if len(held) >= hold:
-                    yield hand_on()
+                b = sorted(basket_items)
+                # a basket of any size: what is held is looked at after each first item
+                for i, first in enumerate(b):
+                    held.update(zip(repeat(first), b[i + 1 :]))
+                    if len(held) >= hold:
+                        yield hand_on()
         if held:
             yield hand_on()
 

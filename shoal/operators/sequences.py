@@ -49,29 +49,32 @@ def ngram_counts(sequences: DataFrame, tokens: str, max_order: int, by: list[str
     return d.groupBy(*by, "order", ctx.alias("context"), "next").agg(F.count("*").alias("c"))
 
 
-def kneser_ney(counts: DataFrame, contexts: DataFrame, key: str, context: str, max_order: int, discount: float = 0.75) -> DataFrame:
-    """(key, token, p): interpolated back-off distribution for each context (an array), over the tokens seen after another one.
+def kneser_ney(counts: DataFrame, contexts: DataFrame, key: str, context: str, max_order: int, discount: float = 0.75, by: list[str] | None = None) -> DataFrame:
+    """(by, key, token, p): interpolated back-off distribution for each context (an array), over the tokens seen after another one.
 
     Order 0 is uniform over tokens that ever have a predecessor: each continuation is counted once. An order whose
-    context was never seen passes the lower order on. Probabilities are at least 1e-9 and sum to 1.
+    context was never seen passes the lower order on. Probabilities are at least 1e-9 and sum to 1. by: columns of counts and
+    contexts that tell models apart, such as an entity; a context whose entity has no counts gives no rows.
     """
-    tokens = counts.filter("order = 1").select(F.col("next").alias("token")).distinct()
-    # the vocabulary as one array: bounded by the number of kinds of tokens
-    vocab = tokens.agg(F.sort_array(F.collect_set("token")).alias("_v"))
-    q = contexts.select(key, F.col(context).alias("_ctx")).crossJoin(F.broadcast(vocab))
-    d = q.select(key, "_ctx", F.explode("_v").alias("token"), (1.0 / F.size("_v")).alias("p"))
-    totals = counts.groupBy("order", "context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    by = by or []
+    tokens = counts.filter("order = 1").select(*by, F.col("next").alias("token")).distinct()
+    # a vocabulary as one array: bounded by the number of kinds of tokens
+    vocab = tokens.groupBy(*by).agg(F.sort_array(F.collect_set("token")).alias("_v"))
+    q = contexts.select(*by, key, F.col(context).alias("_ctx"))
+    q = q.join(vocab, by) if by else q.crossJoin(F.broadcast(vocab))
+    d = q.select(*by, key, "_ctx", F.explode("_v").alias("token"), (1.0 / F.size("_v")).alias("p"))
+    totals = counts.groupBy(*by, "order", "context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
     for k in range(1, max_order + 1):
         ctx = F.when(F.size("_ctx") >= k, F.concat_ws(SEP, F.slice("_ctx", F.size("_ctx") - k + 1, F.lit(k))))
         d = d.withColumn("_k", ctx)
-        t = totals.filter(F.col("order") == k).select(F.col("context").alias("_k"), "total", "kinds")
-        c = counts.filter(F.col("order") == k).select(F.col("context").alias("_k"), F.col("next").alias("token"), "c")
-        d = d.join(t, "_k", "left").join(c, ["_k", "token"], "left")
+        t = totals.filter(F.col("order") == k).select(*by, F.col("context").alias("_k"), "total", "kinds")
+        c = counts.filter(F.col("order") == k).select(*by, F.col("context").alias("_k"), F.col("next").alias("token"), "c")
+        d = d.join(t, [*by, "_k"], "left").join(c, [*by, "_k", "token"], "left")
         disc = F.least(F.lit(discount), F.col("total").cast("double"))
         here = F.col("p") * disc * F.col("kinds") / F.col("total") + F.greatest(F.coalesce("c", F.lit(0)) - disc, F.lit(0.0)) / F.col("total")
-        d = d.select(key, "_ctx", "token", F.when(F.col("total").isNull(), F.col("p")).otherwise(here).alias("p"))
+        d = d.select(*by, key, "_ctx", "token", F.when(F.col("total").isNull(), F.col("p")).otherwise(here).alias("p"))
     p = F.greatest(F.col("p"), F.lit(1e-9))
-    return d.select(key, "token", (p / F.sum(p).over(Window.partitionBy(key))).alias("p"))
+    return d.select(*by, key, "token", (p / F.sum(p).over(Window.partitionBy(*by, key))).alias("p"))
 
 
 def entity_or_global(rows: DataFrame, models: DataFrame, entity: str, everything: str = "__global__") -> DataFrame:

@@ -250,7 +250,7 @@ def diverse_slates(spark: SparkSession, d: str) -> DataFrame:
     "similar_items_score",
     r"""WITH b AS (SELECT DISTINCT invoice, regexp_replace(upper(stock_code), '^\s+|\s+$', '', 'g') AS i FROM sf_transactions WHERE quantity > 0), n AS (SELECT i, count(*) AS n FROM b GROUP BY i),
     p AS (SELECT a.i AS x, c.i AS y, count(*) AS k FROM b a JOIN b c ON a.invoice = c.invoice AND a.i <> c.i GROUP BY 1, 2), s AS (SELECT x, y, k / sqrt((nx.n + 5.0) * (ny.n + 5.0)) AS sim FROM p JOIN n nx ON nx.i = x JOIN n ny ON ny.i = y),
-    m AS (SELECT DISTINCT customer_id, regexp_replace(upper(stock_code), '^\s+|\s+$', '', 'g') AS x FROM sf_transactions WHERE quantity > 0 AND customer_id LIKE '%7')
+    m AS (SELECT DISTINCT customer_id, regexp_replace(upper(stock_code), '^\s+|\s+$', '', 'g') AS x FROM sf_transactions WHERE quantity > 0 AND customer_id IS NOT NULL)
     SELECT customer_id, y AS item, round(max(sim), 6) AS best FROM m JOIN s USING (x) GROUP BY 1, 2""",
 )
 def similar_items_score(spark: SparkSession, d: str) -> DataFrame:

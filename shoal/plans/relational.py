@@ -162,9 +162,10 @@ def orders_enriched(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.l_partkey, a.l_suppkey, n, q FROM a LEFT JOIN b USING (l_partkey, l_suppkey)""",
 )
 def two_key_join(spark: SparkSession, d: str) -> DataFrame:
-    # one conditional aggregation instead of a join of two aggregates over the same scan
-    q = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")))
-    return table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), q.alias("q"))
+    li = table(spark, d, "lineitem")
+    a = li.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    b = li.filter("l_returnflag = 'R'").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    return a.join(b, ["l_partkey", "l_suppkey"], "left").select("l_partkey", "l_suppkey", "n", "q")
 
 
 @query(
@@ -182,12 +183,26 @@ def semi_recent_buyers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(recent, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("anti_never_bought", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("anti_never_bought", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate >= TIMESTAMP '2001-06-01')")
 def anti_never_bought(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").filter(F.col("o_orderdate") >= F.lit("2001-06-01").cast("timestamp_ntz")).select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 
+@query(
+    "right_and_natural_joins",
+    """SELECT 'right' AS kind, n_name AS name, count(c_custkey) AS n FROM (SELECT * FROM customer WHERE c_acctbal > 9000) RIGHT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
+    UNION ALL SELECT 'natural', r_name, count(*) FROM (SELECT r_regionkey AS k, r_name FROM region) NATURAL JOIN (SELECT n_regionkey AS k FROM nation) GROUP BY ALL""",
+)
+def right_and_natural_joins(spark: SparkSession, d: str) -> DataFrame:
+    c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
+    right = c.filter("c_acctbal > 9000").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "right").groupBy(F.lit("right").alias("kind"), F.col("n_name").alias("name")).agg(F.count("c_custkey").alias("n"))
+    # the names the two sides share; a hint asks for sorting instead of broadcasting
+    left, other = r.select(F.col("r_regionkey").alias("k"), "r_name"), n.select(F.col("n_regionkey").alias("k"))
+    natural = left.join(other.hint("merge"), [x for x in left.columns if x in other.columns])
+    return right.unionByName(natural.groupBy(F.lit("natural").alias("kind"), F.col("r_name").alias("name")).agg(F.count("*").alias("n")))
+
+
 @query(
     "full_outer_counts",
     """SELECT user_id, coalesce(v, 0) AS views, coalesce(p, 0) AS purchases FROM (SELECT user_id, count(*) AS v FROM events WHERE event_type = 'view' AND value < 20 GROUP BY 1)
@@ -250,7 +265,7 @@ def last_failure_as_of(spark: SparkSession, d: str) -> DataFrame:
     rf"""WITH b AS (SELECT DISTINCT invoice, {CODE_SQL} AS i FROM sf_transactions WHERE quantity > 0 AND invoice IS NOT NULL AND stock_code IS NOT NULL), n AS (SELECT i, count(*) AS n FROM b GROUP BY i),
     p AS (SELECT a.i AS item_a, c.i AS item_b, count(*) AS n_ab FROM b a JOIN b c ON a.invoice = c.invoice AND a.i <> c.i GROUP BY 1, 2)
     SELECT item_a, item_b, n_ab, round(n_ab / sqrt(CAST(x.n AS DOUBLE) * y.n), 6) AS cosine, round(n_ab / sqrt((x.n + 5.0) * (y.n + 5.0)), 6) AS smoothed
-    FROM p JOIN n x ON x.i = item_a JOIN n y ON y.i = item_b WHERE n_ab >= 3""",
+    FROM p JOIN n x ON x.i = item_a JOIN n y ON y.i = item_b""",
 )
 def copurchase_cosine(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sf_transactions").filter("quantity > 0").select("invoice", F.upper(strip("stock_code")).alias("i"))
@@ -304,7 +319,7 @@ def candidate_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "users_by_ranks",
-    "SELECT c_custkey, CAST(r AS INTEGER) AS rank FROM customer, range(1, 4) t(r) WHERE c_nationkey = 3",
+    "SELECT c_custkey, CAST(r AS INTEGER) AS rank FROM customer, range(1, 4) t(r)",
 )
 def users_by_ranks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank"))

@@ -136,21 +136,42 @@ def prefix_examples(spark: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "position", F.concat_ws(" ", "context").alias("context"), "target")
 
 
-_NG = f"""{_SEQ}, i AS (SELECT user_id, tokens, unnest(range(0, len(tokens))) AS i FROM seq), o AS (SELECT *, unnest(range(0, least(2, i) + 1)) AS ord FROM i),
+_NG = f"""{_SEQ}, i AS (SELECT user_id, tokens, unnest(range(0, len(tokens))) AS i FROM seq), o AS (SELECT *, unnest(range(0, least(5, i) + 1)) AS ord FROM i),
 ng AS (SELECT CAST(ord AS INTEGER) AS ord, array_to_string(tokens[i - ord + 1:i], '>') AS context, tokens[i + 1] AS nxt, count(*) AS c FROM o GROUP BY 1, 2, 3)"""
 
 
 @query("ngram_counts", f"WITH {_NG} SELECT ord AS \"order\", context, nxt AS next, c FROM ng")
 def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
-    n = S.ngram_counts(_sequences(spark, d), "tokens", 2)
+    n = S.ngram_counts(_sequences(spark, d), "tokens", 5)
     return n.select(F.col("order").cast("int").alias("order"), F.replace(F.col("context"), F.lit(S.SEP), F.lit(">")).alias("context"), "next", "c")
 
 
-_KN = f"""{_NG}, tok AS (SELECT DISTINCT nxt AS token FROM ng WHERE ord = 1), q AS (SELECT 'view' AS a, 'click' AS b UNION ALL SELECT 'error', 'error' UNION ALL SELECT 'purchase', 'nothing'),
-p0 AS (SELECT a, b, token, 1.0 / (SELECT count(*) FROM tok) AS p FROM q, tok), tt AS (SELECT ord, context, sum(c) AS total, count(*) AS kinds FROM ng GROUP BY 1, 2),
-p1 AS (SELECT a, b, token, CASE WHEN total IS NULL THEN p ELSE p * least(0.75, total) * kinds / total + greatest(coalesce(c, 0) - least(0.75, total), 0) / total END AS p FROM p0 LEFT JOIN tt ON tt.ord = 1 AND tt.context = b LEFT JOIN ng ON ng.ord = 1 AND ng.context = b AND nxt = token),
-p2 AS (SELECT a, b, token, CASE WHEN total IS NULL THEN p ELSE p * least(0.75, total) * kinds / total + greatest(coalesce(c, 0) - least(0.75, total), 0) / total END AS p FROM p1 LEFT JOIN tt ON tt.ord = 2 AND tt.context = a || '>' || b LEFT JOIN ng ON ng.ord = 2 AND ng.context = a || '>' || b AND nxt = token),
-kn AS (SELECT a || '>' || b AS q, token, greatest(p, 1e-9) / sum(greatest(p, 1e-9)) OVER (PARTITION BY a, b) AS p FROM p2)"""
+def _kn_sql(order: int, model: str) -> str:
+    """Interpolated back-off over ng (model, ord, context, nxt, c) for the contexts of q (model, q, ctx)."""
+    steps = []
+    for k in range(1, order + 1):
+        steps.append(
+            f"""p{k} AS (SELECT p{k - 1}.model, q, ctx, token, CASE WHEN total IS NULL THEN p ELSE p * least(0.75, total) * kinds / total + greatest(coalesce(c, 0) - least(0.75, total), 0) / total END AS p FROM p{k - 1}
+            LEFT JOIN tt ON tt.model = p{k - 1}.model AND tt.ord = {k} AND len(ctx) >= {k} AND tt.context = array_to_string(ctx[-{k}:], '>')
+            LEFT JOIN ng ON ng.model = p{k - 1}.model AND ng.ord = {k} AND len(ctx) >= {k} AND ng.context = array_to_string(ctx[-{k}:], '>') AND nxt = token)"""
+        )
+    return f"""{model}, i AS (SELECT model, tokens, unnest(range(0, len(tokens))) AS i FROM ms), o AS (SELECT *, unnest(range(0, least({order}, i) + 1)) AS ord FROM i),
+    ng AS (SELECT model, ord, array_to_string(tokens[i - ord + 1:i], '>') AS context, tokens[i + 1] AS nxt, count(*) AS c FROM o GROUP BY ALL), tok AS (SELECT DISTINCT model, nxt AS token FROM ng WHERE ord = 1),
+    p0 AS (SELECT q.model, q, ctx, token, 1.0 / count(*) OVER (PARTITION BY q.model, q) AS p FROM q JOIN tok ON tok.model = q.model), tt AS (SELECT model, ord, context, sum(c) AS total, count(*) AS kinds FROM ng GROUP BY ALL),
+    {", ".join(steps)}, kn AS (SELECT model, q, token, greatest(p, 1e-9) / sum(greatest(p, 1e-9)) OVER (PARTITION BY model, q) AS p FROM p{order})"""
+
+
+_KN = _kn_sql(
+    2,
+    f"""{_SEQ}, ms AS (SELECT 'all' AS model, tokens FROM seq), q AS (SELECT 'all' AS model, array_to_string(ctx, '>') AS q, ctx FROM (
+    SELECT tokens[-2:] AS ctx FROM seq UNION SELECT ['view', 'click'] UNION SELECT ['error', 'error'] UNION SELECT ['purchase', 'nothing']))""",
+)
+#: Users whose number leaves 6 over 7 have no model of their own.
+_KN5 = _kn_sql(
+    5,
+    f"""{_SEQ}, e AS (SELECT CAST(user_id % 7 AS VARCHAR) AS ent, tokens FROM seq), ms AS (SELECT ent AS model, tokens FROM e WHERE ent <> '6' UNION ALL SELECT '__global__', tokens FROM e),
+    q AS (SELECT DISTINCT CASE WHEN ent <> '6' THEN ent ELSE '__global__' END AS model, array_to_string(tokens[-5:], '>') AS q, tokens[-5:] AS ctx FROM e)""",
+)
 
 
 def _last_two(spark: SparkSession, d: str) -> DataFrame:
@@ -172,13 +193,28 @@ def kneser_ney(spark: SparkSession, d: str) -> DataFrame:
     return _kn(spark, d).select("q", "token", F.round("p", 8).alias("p"))
 
 
-@query("next_symbol", f"WITH {_KN} SELECT q, arg_min(token, (-round(p, 8), token)) AS token FROM kn GROUP BY q")
+@query(
+    "next_symbol",
+    f"""WITH {_KN}, best AS (SELECT q, arg_min(token, (-round(p, 8), token)) AS token FROM kn GROUP BY q)
+    SELECT user_id, best.q, token FROM best LEFT JOIN (SELECT user_id, array_to_string(tokens[-2:], '>') AS q FROM seq) u ON u.q = best.q""",
+)
 def next_symbol(spark: SparkSession, d: str) -> DataFrame:
     best = _kn(spark, d).groupBy("q").agg(F.min_by("token", F.struct((-F.round("p", 8)).alias("p"), "token")).alias("token"))
     # a given context that no user's sequence ends in has a null user
     return best.join(_last_two(spark, d).select("user_id", "q"), "q", "left").select("user_id", "q", "token")
 
 
+@query("kneser_ney_entities", f"WITH {_KN5} SELECT model, q, token, round(p, 8) AS p FROM kn")
+def kneser_ney_entities(spark: SparkSession, d: str) -> DataFrame:
+    s = _sequences(spark, d).withColumn("ent", (F.col("user_id") % 7).cast("string"))
+    own = s.filter("ent <> '6'")
+    models = own.withColumn("model", F.col("ent")).unionByName(s.withColumn("model", F.lit("__global__")))
+    n = S.ngram_counts(models, "tokens", 5, by=["model"])
+    last = F.slice("tokens", F.greatest(F.size("tokens") - 4, F.lit(1)), F.lit(5))
+    q = S.entity_or_global(s, own, "ent").select("model", F.concat_ws(">", last).alias("q"), last.alias("ctx")).distinct()
+    return S.kneser_ney(n, q, "q", "ctx", 5, by=["model"]).select("model", "q", "token", F.round("p", 8).alias("p"))
+
+
 @query(
     "entity_models",
     "SELECT event_id, CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 90) THEN CAST(user_id AS VARCHAR) ELSE '__global__' END AS model FROM events",
