@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -87,6 +87,17 @@ class Contract:
     def counts(self) -> DataFrame:
         return self.violations().groupBy("check_name").agg(F.count("*").alias("violations"))
 
+    def first_failure(self, examples: int = 5) -> DataFrame:
+        """(check_name, violations, examples): the first check that fails, with its smallest examples; no row if all hold.
+
+        All checks are counted in one pass; of each no more than ``examples`` examples are kept.
+        """
+        v = self.violations()
+        top = v.withColumn("r", F.row_number().over(Window.partitionBy("seq").orderBy("example"))).filter(F.col("r") <= examples)
+        top = top.groupBy("seq").agg(F.array_sort(F.collect_list("example")).alias("examples"))
+        n = v.groupBy("seq", "check_name").agg(F.count("*").alias("violations"))
+        return n.join(top, "seq").orderBy("seq").limit(1).select("check_name", "violations", "examples")
+
     def require(self) -> DataFrame:
         """The table, if it keeps its contract; one action over all checks."""
         w = self.violations().groupBy("seq", "check_name").agg(F.min("example").alias("e"), F.count("*").alias("n")).orderBy("seq").limit(1).collect()

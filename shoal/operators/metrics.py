@@ -138,6 +138,26 @@ def weighted(parts: dict[str, float], low: float = 0.0, high: float = 1.0) -> Co
     return F.greatest(F.lit(low), F.least(F.lit(high), total))
 
 
+def candidate_recall(candidates: DataFrame, truth: DataFrame, user: str, item: str) -> DataFrame:
+    """(user, n_truth, n_hit, n_candidates, recall) of every user that has true items; repeats count once, nulls don't count.
+
+    recall is the share of a user's true items among their candidates; a user without candidates has recall 0.
+    """
+    c, t = (x.select(user, item).filter(F.col(user).isNotNull() & F.col(item).isNotNull()).distinct() for x in (candidates, truth))
+    # one pass over both sides, grouped once
+    both = c.withColumn("_c", F.lit(1)).withColumn("_t", F.lit(0)).unionByName(t.withColumn("_c", F.lit(0)).withColumn("_t", F.lit(1)))
+    pair = both.groupBy(user, item).agg(F.max("_c").alias("_c"), F.max("_t").alias("_t"))
+    by = pair.groupBy(user).agg(F.sum("_t").alias("n_truth"), F.sum(F.col("_c") * F.col("_t")).alias("n_hit"), F.sum("_c").alias("n_candidates"))
+    return by.filter("n_truth > 0").withColumn("recall", F.col("n_hit") / F.col("n_truth"))
+
+
+def catalog_coverage(candidates: DataFrame, catalog: DataFrame, item: str) -> DataFrame:
+    """One row (n_items, n_covered, coverage): the share of the catalog's items that are anyone's candidate; null for an empty catalog."""
+    have = candidates.select(item).distinct().withColumn("_h", F.lit(1))
+    d = catalog.select(item).filter(F.col(item).isNotNull()).distinct().join(have, item, "left")
+    return d.agg(F.count("*").alias("n_items"), F.count("_h").alias("n_covered")).withColumn("coverage", F.try_divide("n_covered", "n_items"))
+
+
 def cumulative_share(df: DataFrame, column: str) -> DataFrame:
     """Frequency of each value and its share of all rows."""
     # the total is one row

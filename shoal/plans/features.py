@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoal.functions.text import strip
 from shoal.operators import bars as B
 from shoal.operators import metrics as M
 from shoal.operators.aggregates import mode_of, ranked
@@ -27,7 +28,6 @@ _CODE = r"regexp_replace(upper(stock_code), '^\s+|\s+$', '', 'g')"
     SELECT code, m.description AS description, median(unit_price) AS price, count(DISTINCT invoice) AS invoices, CAST(min(invoice_date) AS DATE) AS first_seen, CAST(max(invoice_date) AS DATE) AS last_seen FROM b LEFT JOIN m USING (code) GROUP BY 1, 2""",
 )
 def catalog_summary(spark: SparkSession, d: str) -> DataFrame:
-    from shoal.functions.text import strip
 
     b = table(spark, d, "sf_transactions").filter("quantity > 0").withColumn("code", F.upper(strip("stock_code")))
     g = b.groupBy("code").agg(
@@ -204,3 +204,79 @@ def win_rates(spark: SparkSession, d: str) -> DataFrame:
     p = B.profit(_trend(spark, d))
     win = F.avg(F.when(F.col("pnl") != 0, (F.col("pnl") > 0).cast("double")))
     return p.groupBy("arena").agg(F.round(F.avg("pos"), 6).alias("exposure"), F.round(F.coalesce(win, F.lit(0.5)), 6).alias("win_rate"))
+
+
+# ---------------------------------------------------------------- candidates, sketches, purchase features
+
+_CAND = """WITH past AS (SELECT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+truth AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '2000-01-01'),
+pop AS (SELECT i FROM past GROUP BY i ORDER BY count(*) DESC, i LIMIT 20), cand AS (SELECT u, i FROM past UNION SELECT c_custkey, i FROM customer, pop)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(user, item) of what customers bought before the cutoff and the best sellers, and of what they bought after."""
+    line = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("i"), "o_orderdate")
+    cut = F.lit("2000-01-01").cast("timestamp_ntz")
+    past = line.filter(F.col("o_orderdate") < cut).select("u", "i")
+    top = past.groupBy("i").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "i").limit(20).select("i")
+    # twenty rows
+    everyone = table(spark, d, "customer").select(F.col("c_custkey").alias("u")).crossJoin(F.broadcast(top))
+    return past.unionByName(everyone), line.filter(F.col("o_orderdate") >= cut).select("u", "i")
+
+
+@query(
+    "candidate_recall",
+    f"""{_CAND} SELECT u, count(*) AS n_truth, count(c.i) AS n_hit, (SELECT count(*) FROM cand x WHERE x.u = t.u) AS n_candidates, round(count(c.i) / count(*), 6) AS recall
+    FROM truth t LEFT JOIN cand c ON c.u = t.u AND c.i = t.i GROUP BY t.u ORDER BY u""".replace("SELECT u, count(*)", "SELECT t.u AS u, count(*)"),
+)
+def candidate_recall(spark: SparkSession, d: str) -> DataFrame:
+    return M.candidate_recall(*_candidates(spark, d), "u", "i").withColumn("recall", F.round("recall", 6))
+
+
+@query("candidate_coverage", f"{_CAND} SELECT count(*) AS n_items, count(c.i) AS n_covered, round(count(c.i) / count(*), 6) AS coverage FROM part LEFT JOIN (SELECT DISTINCT i FROM cand) c ON c.i = p_partkey")
+def candidate_coverage(spark: SparkSession, d: str) -> DataFrame:
+    catalog = table(spark, d, "part").select(F.col("p_partkey").alias("i"))
+    return M.catalog_coverage(_candidates(spark, d)[0], catalog, "i").withColumn("coverage", F.round("coverage", 6))
+
+
+@query("approximate_sketches", "SELECT l_shipmode, true AS distinct_close, true AS quantile_close FROM (SELECT DISTINCT l_returnflag AS l_shipmode FROM lineitem)")
+def approximate_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of distinct counts and quantiles lie within their stated error of the exact values."""
+    g = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("l_shipmode")).agg(
+        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("b"),
+        F.percentile_approx("l_extendedprice", 0.9, 1000).alias("q"), F.count("*").alias("n"), F.expr("percentile(l_extendedprice, array(0.895, 0.905))").alias("r"),
+    )
+    return g.select("l_shipmode", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("distinct_close"), F.col("q").between(F.col("r")[0], F.col("r")[1]).alias("quantile_close"))
+
+
+@query(
+    "user_category_prices",
+    """WITH l AS (SELECT o_custkey, p_brand, p_retailprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
+    SELECT o_custkey, p_brand, round(median(p_retailprice), 6) AS med, round(max(p_retailprice) / median(p_retailprice) + 1e-9, 4) AS top_ratio FROM l GROUP BY 1, 2""",
+)
+def user_category_prices(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's median price in each category, and the ratio of the dearest item to it."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = line.join(table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+    med = F.median("p_retailprice")
+    return line.groupBy("o_custkey", "p_brand").agg(F.round(med, 6).alias("med"), F.round(F.max("p_retailprice") / med + 1e-9, 4).alias("top_ratio"))
+
+
+@query(
+    "cold_start_flags",
+    f"""WITH s AS (SELECT {_CODE} AS code, invoice_date, unit_price FROM sf_transactions WHERE quantity > 0 AND invoice_date IS NOT NULL), a AS (SELECT max(invoice_date) - INTERVAL 14 DAY AS anchor FROM s),
+    m AS (SELECT code, median(unit_price) AS med FROM s, a WHERE invoice_date <= anchor GROUP BY code)
+    SELECT s.code, CAST(min(invoice_date) > max(anchor) - INTERVAL 30 DAY AS INTEGER) AS cold, CAST(coalesce(bool_or(invoice_date > anchor AND invoice_date <= anchor + INTERVAL 7 DAY AND unit_price < 0.9 * med), false) AS INTEGER) AS cheap_next
+    FROM s CROSS JOIN a LEFT JOIN m ON m.code = s.code GROUP BY s.code""",
+)
+def cold_start_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Items first met within 30 days of an anchor (or after it), and items offered below a tenth under their median in the week after it."""
+    s = table(spark, d, "sf_transactions").filter("quantity > 0 AND invoice_date IS NOT NULL").select(F.upper(strip("stock_code")).alias("code"), "invoice_date", "unit_price")
+    a = s.agg((F.max("invoice_date") - F.expr("INTERVAL 14 DAYS")).alias("anchor"))
+    s = s.crossJoin(F.broadcast(a))
+    m = s.filter("invoice_date <= anchor").groupBy("code").agg(F.median("unit_price").alias("med"))
+    nxt = (F.col("invoice_date") > F.col("anchor")) & (F.col("invoice_date") <= F.col("anchor") + F.expr("INTERVAL 7 DAYS")) & (F.col("unit_price") < 0.9 * F.col("med"))
+    g = s.join(m.withColumnRenamed("code", "_c"), F.col("code").eqNullSafe(F.col("_c")), "left").groupBy("code")
+    return g.agg(
+        (F.min("invoice_date") > F.max("anchor") - F.expr("INTERVAL 30 DAYS")).cast("int").alias("cold"), F.coalesce(F.bool_or(nxt), F.lit(False)).cast("int").alias("cheap_next")
+    )

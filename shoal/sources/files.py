@@ -92,6 +92,32 @@ def unzip(path: str, member: str, folder: str) -> list[str]:
         return [z.extract(n, folder) for n in names]
 
 
+def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, bytes, sha256) of every file under a path, read by the executors."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def require_digests(spark: SparkSession, path: str | list[str], expected: dict[str, str]) -> None:
+    """Raise SourceError unless the files under a path are those of ``expected`` (file name -> sha256), no fewer and no other."""
+    got = {r["file"]: r["sha256"] for r in file_digests(spark, path).filter(~F.col("file").rlike("^[._]")).collect()}
+    wrong = sorted(k for k in got.keys() | expected.keys() if got.get(k) != expected.get(k))
+    if wrong:
+        raise SourceError(f"files missing, unexpected or changed: {wrong[:5]}")
+
+
+def save_vocabulary(vocab: DataFrame, path: str, **settings: object) -> None:
+    """A vocabulary (token, n, id) and the settings it was made with, as one folder."""
+    write_table(vocab, f"{path}/vocabulary")
+    spark = vocab.sparkSession
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """What save_vocabulary wrote. Models of Spark ML have save and load of their own."""
+    return spark.read.parquet(f"{path}/vocabulary"), json.loads(spark.read.text(f"{path}/settings").first()[0])
+
+
 def write_sorted_csv(df: DataFrame, path: str, order: list[str], single: bool = False, time: str = "yyyy-MM-dd HH:mm:ss") -> None:
     """CSV in a stated order (over all files in name order) and a fixed time format. single: one file, for small results."""
     d = df.orderBy(*order)
