@@ -6,31 +6,46 @@ and date expressions only, in generated code.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SITE, NUMBER = r"([A-Z]{2,4}[0-9]?)", r"(-?[0-9]+\.[0-9]+)"
-# fixed formats of the six programs; the groups are named below
-LAYOUTS = {
-    "F1": rf"^(\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d) \| ([A-Z]{{3}})-(\d{{4}}) @ {SITE} \| T={NUMBER}F P={NUMBER}psi \| ([A-Z]+)$",
-    "F2": rf"^<([A-Z])(\d{{4}})\|{SITE}\|(\d{{14}})\|t:(-?\d+\.\d)\|p:(\d+\.\d)\|s:(\d)>$",
-    "F4": r"^([A-Z])(\d{4})([A-Z]{2,4}[0-9]?) *(\d{6})(\d{4})([+-]\d{4})(\d{6})([A-Z])$",
-    "F5": rf"^{SITE},([A-Z]{{3}})-(\d{{4}}),(\d\d/\d\d/\d\d \d\d:\d\d[AP]M),{NUMBER},{NUMBER},([A-Z]{{3}})$",
-    "F6": rf'^\{{"st":"{SITE}","d":"([A-Z]{{3}})-(\d{{4}})","e":(\d+),"tc":(-?\d+\.\d),"pk":(-?\d+\.\d),"x":"([a-z]+)"\}}$',
-}
-GROUPS = {
-    "F1": ["time", "type", "number", "site", "temp", "pres", "status"],
-    "F2": ["type", "number", "site", "time", "temp", "pres", "status"],
-    "F4": ["type", "number", "site", "date", "clock", "temp", "pres", "status"],
-    "F5": ["site", "type", "number", "time", "temp", "pres", "status"],
-    "F6": ["site", "type", "number", "time", "temp", "pres", "status"],
+# fixed formats of the programs: a line as it is printed, with {field:form} where a value stands; F3 is apart
+PRINTED = {
+    "F1": "{time:dashed} | {type}-{number} @ {site} | T={temp}F P={pres}psi | {status:word}",
+    "F2": "<{type:letter}{number}|{site}|{time:digits14}|t:{temp:tenths}|p:{pres:tenths}|s:{status:digit}>",
+    "F4": "{type:letter}{number}{site:padded}{time:digits10}{temp:signed4}{pres:digits6}{status:letter}",
+    "F5": "{site},{type}-{number},{time:ampm},{temp},{pres},{status:three}",
+    "F6": '{"st":"{site}","d":"{type}-{number}","e":{time:epoch},"tc":{temp:tenths},"pk":{pres:tenths},"x":"{status:small}"}',
 }
+#: What a form looks like; a field without a form is in its own.
+FORMS = {
+    "type": "[A-Z]{3}", "letter": "[A-Z]", "number": "[0-9]{4}", "site": "[A-Z]{2,4}[0-9]?", "temp": "-?[0-9]+[.][0-9]+", "pres": "-?[0-9]+[.][0-9]+", "tenths": "-?[0-9]+[.][0-9]",
+    "signed4": "[+-][0-9]{4}", "digits6": "[0-9]{6}", "digits10": "[0-9]{10}", "digits14": "[0-9]{14}", "epoch": "[0-9]+", "digit": "[0-9]", "word": "[A-Z]+", "three": "[A-Z]{3}", "small": "[a-z]+",
+    "dashed": "[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}", "ampm": "[0-9]{2}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}[AP]M",
+}
+
+
+def _compiled(printed: str) -> tuple[str, list[str]]:
+    """(anchored pattern, field of each group) of a line as it is printed."""
+    out, fields, at = "^", [], 0
+    for m in re.finditer(r"\{(\w+)(?::(\w+))?\}", printed):
+        out += re.sub(r"([^\w\s<>,:@=-])", r"\\\1", printed[at : m.start()])
+        form = m[2] or m[1]
+        # a padded site fills its place with blanks after it
+        out += f"({FORMS['site']}) *" if form == "padded" else f"({FORMS[form]})"
+        fields.append(m[1])
+        at = m.end()
+    return out + re.sub(r"([^\w\s<>,:@=-])", r"\\\1", printed[at:]) + "$", fields
+
+
+LAYOUTS = {name: _compiled(printed) for name, printed in PRINTED.items()}
 # F3 is six key=value pairs in any order
 F3_KEYS = ["dev", "site", "time", "temp", "pressure", "flag"]
-# fixed values: numeric transforms that a layout may use; 1 psi = 6.894757 kPa
-TRANSFORMS = {"identity": lambda x: x, "x/10": lambda x: x / 10, "F->C": lambda x: (x - 32) * 5 / 9, "psi->kPa": lambda x: x * 6.894757}
+# fixed values: ways to print a number, as (added first, factor) to the canonical unit; 1 psi = 6.894757 kPa
+CONVERSIONS = {"as printed": (0.0, 1.0), "in tenths": (0.0, 0.1), "fahrenheit": (-32.0, 5 / 9), "psi": (0.0, 6.894757)}
 FIELDS = ["ts", "dev", "site", "temp_c", "pres_kpa", "status"]
 
 
@@ -38,21 +53,23 @@ FIELDS = ["ts", "dev", "site", "temp_c", "pres_kpa", "status"]
 class Rules:
     """What is learned from pairs: numeric transforms by layout and field, vocabularies, date orders, local or UTC."""
 
-    numbers: dict[tuple[str, str], str] = field(
-        default_factory=lambda: {("F1", "temp"): "F->C", ("F1", "pres"): "psi->kPa", ("F4", "temp"): "x/10", ("F4", "pres"): "x/10", ("F5", "temp"): "F->C", ("F5", "pres"): "psi->kPa"}
-    )
-    status: dict[str, dict[str, str]] = field(
-        default_factory=lambda: {
-            "F1": {"OK": "OK", "WARN": "WARN", "FAULT": "FAULT"},
-            "F2": {"0": "OK", "1": "WARN", "2": "FAULT"},
-            "F3": {"OK": "OK", "WARN": "WARN", "FAULT": "FAULT"},
-            "F4": {"O": "OK", "W": "WARN", "F": "FAULT"},
-            "F5": {"RUN": "OK", "WRN": "WARN", "FLT": "FAULT"},
-            "F6": {"ok": "OK", "warn": "WARN", "fault": "FAULT"},
-        }
+    numbers: dict[tuple[str, str], str] = field(default_factory=dict)
+    status: dict[str, dict[str, str]] = field(default_factory=dict)
+    types: dict[str, str] = field(default_factory=dict)
+    day_first: dict[str, bool] = field(default_factory=dict)
+
+
+def published() -> Rules:
+    """The rules of the six programs as they are known; ``learn_rules`` finds them from pairs."""
+    severity = ["OK", "WARN", "FAULT"]
+    words = {"F1": severity, "F2": list("012"), "F3": severity, "F4": list("OWF"), "F5": ["RUN", "WRN", "FLT"], "F6": ["ok", "warn", "fault"]}
+    american = {(lay, f): c for lay in ("F1", "F5") for f, c in (("temp", "fahrenheit"), ("pres", "psi"))}
+    return Rules(
+        numbers=american | {("F4", f): "in tenths" for f in ("temp", "pres")},
+        status={lay: dict(zip(w, severity)) for lay, w in words.items()},
+        types={t[0]: t for t in ("PMP", "CMP", "FAN", "VLV")},
+        day_first={"F3": True, "F5": False},
     )
-    types: dict[str, str] = field(default_factory=lambda: {"P": "PMP", "C": "CMP", "F": "FAN", "V": "VLV"})
-    day_first: dict[str, bool] = field(default_factory=lambda: {"F3": True, "F5": False})
 
 
 def _lookup(table: dict[str, str], c: Column) -> Column:
@@ -67,7 +84,7 @@ def _f3(raw: Column, key: str) -> Column:
 def layout_of(raw: Column) -> Column:
     """F1 to F6, the first that fits; null for none."""
     c = None
-    for name, pattern in LAYOUTS.items():
+    for name, (pattern, _) in LAYOUTS.items():
         c = F.when(raw.rlike(pattern), name) if c is None else c.when(raw.rlike(pattern), name)
     pair = r"(?:time=\d\d/\d\d/\d{4} \d\d:\d\d|(?:dev|site|temp|pressure|flag)=[^ =]+)"
     f3 = raw.rlike(rf"^{pair}(?: {pair}){{5}}$")
@@ -83,12 +100,8 @@ def line_fields(df: DataFrame, raw: str = "raw_line") -> DataFrame:
     out: dict[str, Column] = {}
     for name in ("type", "number", "site", "time", "temp", "pres", "status"):
         c = F.lit(None).cast("string")
-        for lay, groups in GROUPS.items():
-            if name in groups:
-                got = F.regexp_extract(r, LAYOUTS[lay], groups.index(name) + 1)
-            else:
-                got = F.concat(F.regexp_extract(r, LAYOUTS[lay], groups.index("date") + 1), F.regexp_extract(r, LAYOUTS[lay], groups.index("clock") + 1))
-            c = F.when(F.col("layout") == lay, got).otherwise(c)
+        for lay, (pattern, fields) in LAYOUTS.items():
+            c = F.when(F.col("layout") == lay, F.regexp_extract(r, pattern, fields.index(name) + 1)).otherwise(c)
         f3 = {
             "type": F.regexp_extract(_f3(r, "dev"), r"^([A-Z]{3})\d{4}$", 1),
             "number": F.regexp_extract(_f3(r, "dev"), r"^[A-Z]{3}(\d{4})$", 1),
@@ -106,7 +119,7 @@ def local_time(layout: Column, time: Column, day_first: dict[str, bool]) -> Colu
     """The printed time as a time stamp of its own clock; null for a text that is no date."""
 
     def slash(lay: str, year: str, rest: str, fmt: str) -> Column:
-        d, m = ("$1", "$2") if day_first[lay] else ("$2", "$1")
+        d, m = ("$1", "$2") if day_first.get(lay, True) else ("$2", "$1")
         return F.try_to_timestamp(F.regexp_replace(time, rf"^(\d\d)/(\d\d)/{year} (.*)$", f"{rest}-{m}-{d} $4"), F.lit(fmt))
 
     return (
@@ -119,6 +132,11 @@ def local_time(layout: Column, time: Column, day_first: dict[str, bool]) -> Colu
     )
 
 
+def converted(x: Column, conversion: str) -> Column:
+    add, factor = CONVERSIONS[conversion]
+    return (x + F.lit(add)) * F.lit(factor)
+
+
 def one_decimal(x: Column) -> Column:
     # format_string turns null into a text
     return F.when(x.isNotNull(), F.format_string("%.1f", F.round(x, 1) + F.lit(0.0)))
@@ -127,9 +145,9 @@ def one_decimal(x: Column) -> Column:
 def transduce(lines: DataFrame, sites: DataFrame, rules: Rules | None = None, raw: str = "raw_line") -> DataFrame:
     """lines with ``layout`` and ``output``: the canonical record, or REJECT where no layout fits or a token is unknown.
 
-    sites: site, utc_offset_min. Numbers are rounded to one decimal after their transform, -0.0 becomes 0.0.
+    sites: site, utc_offset_min; rules are the published ones unless others are given. Numbers are rounded to one decimal after their transform, -0.0 becomes 0.0.
     """
-    rules = rules or Rules()
+    rules = rules or published()
     d = line_fields(lines, raw)
     s = sites.groupBy("site").agg(F.min("utc_offset_min").alias("_off")).withColumnRenamed("site", "raw_site")
     d = d.join(s, "raw_site", "left")
@@ -140,7 +158,7 @@ def transduce(lines: DataFrame, sites: DataFrame, rules: Rules | None = None, ra
         c = x
         for (l, f), t in rules.numbers.items():
             if f == name:
-                c = F.when(lay == l, TRANSFORMS[t](x)).otherwise(c)
+                c = F.when(lay == l, converted(x, t)).otherwise(c)
         return c
 
     status = F.lit(None).cast("string")
@@ -160,7 +178,7 @@ def transduce(lines: DataFrame, sites: DataFrame, rules: Rules | None = None, ra
 
 def render(df: DataFrame) -> DataFrame:
     """Test fixture: raw_line of rows (layout, utc timestamp, offset int, type, number int, site, tc, pk double, status)."""
-    r = Rules()
+    r = published()
     back = {l: {v: k for k, v in t.items()} for l, t in r.status.items()}
     letter = _lookup({v: k for k, v in r.types.items()}, F.col("type"))
     local = F.col("utc") + F.make_dt_interval(mins=F.col("offset"))
@@ -222,24 +240,24 @@ def _utc(pairs: DataFrame) -> DataFrame:
     )
 
 
-def learn_offsets(pairs: DataFrame, layout: str = "F1") -> DataFrame:
-    """(site, utc_offset_min, n): the most frequent difference between printed and canonical minutes of each site."""
-    d = _utc(pairs).filter(F.col("layout") == layout)
-    mins = F.floor((F.unix_seconds(local_time(F.col("layout"), F.col("raw_time"), Rules().day_first)) - F.unix_seconds("utc")) / 60).cast("int")
+def learn_offsets(pairs: DataFrame, *layouts: str) -> DataFrame:
+    """(site, utc_offset_min, n): the most frequent difference between printed and canonical minutes of each site, by lines of ``layouts`` (F1)."""
+    d = _utc(pairs).filter(F.col("layout").isin(*(layouts or ("F1",))))
+    mins = F.floor((F.unix_seconds(local_time(F.col("layout"), F.col("raw_time"), {})) - F.unix_seconds("utc")) / 60).cast("int")
     n = d.groupBy(F.col("raw_site").alias("site"), mins.alias("m")).agg(F.count("*").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("k"), F.col("m")))
     return n.groupBy("site").agg(best["m"].alias("utc_offset_min"), F.sum("n").alias("n"))
 
 
 def learn_numbers(pairs: DataFrame) -> DataFrame:
-    """(layout, field, transform, max_error): the transform of TRANSFORMS with the smallest largest error."""
+    """(layout, field, transform, max_error): the one of CONVERSIONS with the smallest largest error."""
     d = _utc(pairs)
     parts = []
     for name, key in (("temp", "temp_c"), ("pres", "pres_kpa")):
         x, y = F.col(f"raw_{name}").try_cast("double"), canonical_value(F.col("canonical"), key).try_cast("double")
-        errs = [F.max(F.abs(F.round(t(x), 1) - y)).alias(f"e{i}") for i, t in enumerate(TRANSFORMS.values())]
+        errs = [F.max(F.abs(F.round(converted(x, t), 1) - y)).alias(f"e{i}") for i, t in enumerate(CONVERSIONS)]
         e = d.groupBy("layout").agg(*errs)
-        best = F.array_min(F.array(*[F.struct(F.round(f"e{i}", 6).alias("e"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(TRANSFORMS)]))
+        best = F.array_min(F.array(*[F.struct(F.round(f"e{i}", 6).alias("e"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(CONVERSIONS)]))
         parts.append(e.select("layout", F.lit(name).alias("field"), best["t"].alias("transform"), best["e"].alias("max_error")))
     return parts[0].unionByName(parts[1])
 
@@ -253,3 +271,32 @@ def date_order_evidence(pairs: DataFrame, sites: DataFrame) -> DataFrame:
         return F.sum(F.coalesce((t == F.col("utc")).cast("int"), F.lit(0)))
 
     return d.groupBy("layout").agg(hits(True).alias("day_first"), hits(False).alias("month_first"))
+
+
+def learn_types(pairs: DataFrame) -> DataFrame:
+    """(letter, type, n): the type that a single letter stands for, the most frequent if several."""
+    d = _utc(pairs).filter(F.length("raw_type") == 1)
+    n = d.groupBy(F.col("raw_type").alias("letter"), F.regexp_extract(canonical_value(F.col("canonical"), "dev"), r"^([A-Z]+)-", 1).alias("t")).agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("k"), F.col("t")))
+    return n.groupBy("letter").agg(best["t"].alias("type"), F.sum("n").alias("n"))
+
+
+def learn_rules(pairs: DataFrame) -> tuple[Rules, DataFrame]:
+    """(rules, site offsets) found from lines with their canonical records (raw_line, canonical), for ``transduce``.
+
+    Offsets come from the layouts with an unambiguous date and a local clock, F1 and F4. What reaches the driver is a row a layout
+    and word; the sites stay a table.
+    """
+    offsets = learn_offsets(pairs, "F1", "F4")
+    status: dict[str, dict[str, str]] = {}
+    for r in learn_vocabulary(pairs).collect():
+        status.setdefault(r["layout"], {})[r["raw"]] = r["meaning"]
+    numbers = {(r["layout"], r["field"]): r["transform"] for r in learn_numbers(pairs).collect()}
+    types = {r["letter"]: r["type"] for r in learn_types(pairs).collect()}
+    order = {r["layout"]: r["day_first"] >= r["month_first"] for r in date_order_evidence(pairs, offsets).collect()}
+    return Rules(numbers, status, types, order), offsets
+
+
+def exact_matches(df: DataFrame, truth: str = "canonical", output: str = "output") -> DataFrame:
+    """(layout, n, exact): lines of each layout, and the share whose output is the canonical record to the letter."""
+    return df.groupBy("layout").agg(F.count("*").alias("n"), F.avg(F.coalesce((F.col(output) == F.col(truth)).cast("double"), F.lit(0.0))).alias("exact"))

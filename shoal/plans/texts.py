@@ -49,8 +49,31 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("log_canonical", f"WITH {_TRUTH} SELECT event_id, layout, canonical AS output FROM truth")
 def log_canonical(spark: SparkSession, d: str) -> DataFrame:
-    x = X.transduce(_lines(spark, d).select("event_id", "raw_line"), table(spark, d, "sites"))
-    return x.select("event_id", "layout", "output")
+    """Rules learned from every other stretch of 120 lines, then applied to all lines."""
+    lines = _lines(spark, d)
+    rules, offsets = X.learn_rules(lines.filter(F.floor(F.col("event_id") / 120) % 2 == 0).select("raw_line", "canonical"))
+    return X.transduce(lines.select("event_id", "raw_line"), offsets, rules).select("event_id", "layout", "output")
+
+
+@query(
+    "log_quirk_blind",
+    f"""WITH {_TRUTH} SELECT layout, count(*) AS n, round(avg((3 + CASE WHEN layout IN ('F2', 'F6') OR off = 0 THEN 1 ELSE 0 END
+    + CASE WHEN layout IN ('F2', 'F3', 'F6') OR (layout = 'F4' AND tc = 0) THEN 1 ELSE 0 END + CASE WHEN layout IN ('F2', 'F3', 'F6') THEN 1 ELSE 0 END) / 6.0), 6) AS accuracy FROM truth GROUP BY layout""",
+)
+def log_quirk_blind(spark: SparkSession, d: str) -> DataFrame:
+    """Field accuracy of a reader that knows words and dates but no offsets of sites and no units."""
+    known = X.published()
+    sites = table(spark, d, "sites").select("site", F.lit(0).alias("utc_offset_min"))
+    x = X.transduce(_lines(spark, d).select("event_id", "raw_line", "canonical"), sites, X.Rules({}, known.status, known.types, known.day_first))
+    return X.field_accuracy(x).groupBy("layout").agg(F.count("*").alias("n"), F.round(F.avg("accuracy"), 6).alias("accuracy"))
+
+
+@query("log_exact_match", f"WITH {_TRUTH} SELECT layout, count(*) AS n, round(avg(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 END), 6) AS exact FROM truth GROUP BY 1")
+def log_exact_match(spark: SparkSession, d: str) -> DataFrame:
+    """Share of lines of each layout that come out to the letter, where every seventh output is spoilt."""
+    x = X.transduce(_lines(spark, d).select("event_id", "raw_line", "canonical"), table(spark, d, "sites"))
+    x = x.withColumn("output", F.when(F.col("event_id") % 7 == 0, F.concat("output", F.lit("|x=1"))).otherwise(F.col("output")))
+    return X.exact_matches(x).withColumn("exact", F.round("exact", 6))
 
 
 @query("log_rejects", f"WITH {_TRUTH} SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'REJECT' ELSE canonical END AS output FROM truth")
@@ -83,7 +106,7 @@ def log_vocabulary_learned(spark: SparkSession, d: str) -> DataFrame:
     return X.learn_vocabulary(_lines(spark, d).select("raw_line", "canonical"))
 
 
-@query("log_transforms_learned", "SELECT * FROM (VALUES ('F1','temp','F->C'),('F1','pres','psi->kPa'),('F2','temp','identity'),('F2','pres','identity'),('F3','temp','identity'),('F3','pres','identity'),('F4','temp','x/10'),('F4','pres','x/10'),('F5','temp','F->C'),('F5','pres','psi->kPa'),('F6','temp','identity'),('F6','pres','identity')) t(layout, field, transform)")
+@query("log_transforms_learned", "SELECT * FROM (VALUES ('F1','temp','fahrenheit'),('F1','pres','psi'),('F2','temp','as printed'),('F2','pres','as printed'),('F3','temp','as printed'),('F3','pres','as printed'),('F4','temp','in tenths'),('F4','pres','in tenths'),('F5','temp','fahrenheit'),('F5','pres','psi'),('F6','temp','as printed'),('F6','pres','as printed')) t(layout, field, transform)")
 def log_transforms_learned(spark: SparkSession, d: str) -> DataFrame:
     return X.learn_numbers(_lines(spark, d).select("raw_line", "canonical")).select("layout", "field", "transform")
 
