@@ -119,7 +119,7 @@ BLOCKTAIL -> nl knote sp REMARK | CONT
 HEAT -> temp:temp | num:temp
 PRESS -> pres:pres | num:pres
 CONT -> nl:msg REMARK | <empty>
-REMARK -> ANY REMARK [-1] | ANY [-1]
+REMARK -> REMARK ANY [-1] | ANY [-1]
 """
 _CLASSES = [n for n, _ in LEXEMES]
 GRAMMAR = Grammar(GRAMMAR_TEXT + "ANY -> " + " | ".join(f"{c}:msg" for c in _CLASSES))
