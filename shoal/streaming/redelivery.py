@@ -30,7 +30,7 @@ from shoal.session import scratch_path
 
 FRESH, REPEAT, LATE, EXPIRED, TICK = 0, 1, 2, 3, 4
 #: Commits a table is streamed in. Raise it with the table: a commit's messages pass the shuffle at once.
-COMMITS = 12
+COMMITS = 10
 #: Length of a slot of event time.
 SLOT_MS = 86_400_000
 #: The state store: on disk and off the heap, with changes written at a commit, not the whole.
