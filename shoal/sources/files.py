@@ -93,7 +93,7 @@ def unzip(path: str, member: str, folder: str) -> list[str]:
 
 
 def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, bytes, sha256) of every file under a path, read by the executors."""
+    """(file, bytes, sha256) of every file under a path that isn't empty, read by the executors."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 

@@ -125,7 +125,7 @@ def _step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]
             yield f
 
 
-def first_deliveries_stream(stream: DataFrame, delay: str = "10 days", buckets: int = 64) -> DataFrame:
+def first_deliveries_stream(stream: DataFrame, delay: str = "3 days", buckets: int = 64) -> DataFrame:
     """The stateful part: rows (kind, h1, h2, arrived, row_id) of kind REPEAT, LATE or EXPIRED.
 
     stream holds h1, h2 (identifier hash), arrived (long), row_id (long), event_ms (long).
@@ -172,7 +172,7 @@ def delivery_kinds(
     arrived: str,
     row_id: str,
     required: list[str],
-    delay: str = "10 days",
+    delay: str = "3 days",
     buckets: int | None = None,
     commits: int = COMMITS,
     **options: str,
@@ -231,7 +231,7 @@ def find_redeliveries(
     arrived: str,
     row_id: str,
     required: list[str],
-    delay: str = "10 days",
+    delay: str = "3 days",
     buckets: int | None = None,
     commits: int = COMMITS,
     **options: str,

@@ -76,3 +76,22 @@ def test_ties_nulls_and_empty(spark, tmp_path):
     empty = str(tmp_path / "e.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(empty)
     assert find(spark, empty) == []
+
+
+def test_the_store_expires_and_looks_up_late(spark, tmp_path):
+    from shoal.streaming.redelivery import delivery_kinds
+
+    data = make(4)
+    # one message again, months after its slot has expired
+    data.append((9000, *data[0][1:6], T0 + timedelta(days=200)))
+    for i in range(400):
+        at = T0 + timedelta(days=60, hours=8 * i)
+        data.append((10_000 + i, f"U{i}", "I9", "view", at, 1, at))
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame(data, SCHEMA).coalesce(1).write.parquet(path)
+    args = (["user_id", "item_id", "event_type", "timestamp"], "timestamp", "received_at", "row_id", ["user_id", "timestamp"])
+    kinds = {r["kind"]: r["count"] for r in delivery_kinds(spark, path, *args, commits=5).groupBy("kind").count().collect()}
+    # 1 repeat, 2 late, 3 expired
+    assert kinds[1] > 0 and kinds[2] >= 1 and kinds[3] > 0
+    assert find(spark, path, commits=5) == brute(data)
+    assert find(spark, path, delay="1 hour", buckets=2, commits=7) == brute(data)
