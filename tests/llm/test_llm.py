@@ -196,3 +196,26 @@ def test_features_by_hand(spark):
     assert x == {"log_words": np.log(10), "words_per_sentence": 10 / 3, "sentence_p25": 1.0, "sentence_p50": 2.0}
     # aa is in both documents, bb in one
     assert lex.facts("aa")[2] == 0.0 and abs(lex.facts("bb")[2] - np.log(1.5 / 2.5)) < 1e-6
+
+
+def test_large_baskets_are_cut(spark, monkeypatch):
+    import shoal.llm.cooccur as C
+
+    monkeypatch.setattr(C, "ANCHORS", 7)
+    monkeypatch.setattr(C, "HOLD", 30)
+    rows = [("big", f"i{k:02}") for k in range(40)] + [("b", "i00"), ("b", "i39"), ("c", "i00")]
+    got = {(r["item_a"], r["item_b"]): r["n_ab"] for r in item_pairs(spark.createDataFrame(rows, "b string, i string"), "b", "i").collect()}
+    assert len(got) == 40 * 39 // 2 and got["i00", "i39"] == 2 and got["i01", "i02"] == 1
+    # significance is a bound of its own: i00 is on all baskets, so nothing about it is beyond chance
+    assert all("i00" not in (r["item_a"], r["item_b"]) for r in item_pairs(spark.createDataFrame(rows, "b string, i string"), "b", "i", min_llr=C.LLR_5).collect())
+
+
+def test_one_index_for_many_items(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x y a b c d"), (3, None), (None, "a b c d")], "doc_id long, text string")
+    index = leaks.build_index(docs)
+    assert index.filter("term IS NULL").selectExpr("explode(ids)").count() == 2
+    for text, want in (("q c d e q", {1}), ("A, B; C-D", {1, 2}), ("b c x d", set()), ("nowhere b c d", {1, 2})):
+        items = spark.createDataFrame([("q", text)], "item_id string, text string")
+        assert {r["doc_id"] for r in leaked_items(docs, items, words=3, index=index).collect()} == want
+    near = near_items(docs, spark.createDataFrame([("q", "d x missing")], "item_id string, text string"), need=2, span=10, index=index)
+    assert [tuple(r) for r in near.collect()] == [(2, "q", 6)]
