@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.operators.scans import global_numbers
 from shoal.session import materialized, python_partitions
 
+#: Pairs of a block of best_similar, about, and rows it hands on at once.
+PAIRS_HELD, ROWS_OUT = 2_000_000, 200_000
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows of each group with their rank from 1. The order must end in a unique key.
@@ -136,3 +142,102 @@ def diverse_by_history(history: DataFrame, similar: DataFrame, request: str, ite
         return pd.DataFrame(rows, columns=[request, "position", item])
 
     return h.groupBy("block").cogroup(cells.groupBy("block")).applyInPandas(pick, f"{request} {req}, position int, {item} {it}")
+
+
+class _Block:
+    """Pairs of one block of items: for each owned item, the places of items similar to it and the values."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(parts)
+        x, y = (t[c].combine_chunks().dictionary_encode() for c in "xy")
+        self.owned, self.items = x.dictionary, y.dictionary
+        a, b, v = x.indices.to_numpy(), y.indices.to_numpy(), t["v"].to_numpy()
+        order = np.argsort(a, kind="stable")
+        self.at, self.v = b[order], v[order]
+        self.first = np.searchsorted(a[order], np.arange(len(self.owned) + 1))
+        # a full grid is faster, where at least a quarter of it is taken
+        self.grid = None
+        if len(self.owned) * len(self.items) <= 4 * len(v):
+            self.grid = np.full((len(self.owned), len(self.items)), -np.inf)
+            self.grid[a, b] = v
+
+    def _best(self, own: np.ndarray) -> np.ndarray:
+        if self.grid is not None:
+            return self.grid[own].max(axis=0)
+        best = np.full(len(self.items), -np.inf)
+        for k in own.tolist():
+            at, v = self.at[self.first[k] : self.first[k + 1]], self.v[self.first[k] : self.first[k + 1]]
+            best[at] = np.maximum(best[at], v)
+        return best
+
+    def rows(self, entities: pa.Array, lists: pa.Array, names: list[str]) -> Iterator[pa.RecordBatch]:
+        own = pc.index_in(lists.flatten(), value_set=self.owned).fill_null(-1).to_numpy()
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        got: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def hand_on() -> pa.RecordBatch:
+            who = np.repeat([i for i, _, _ in got], [len(hit) for _, hit, _ in got])
+            hits, values = (np.concatenate([g[k] for g in got]) for k in (1, 2))
+            got.clear()
+            return pa.RecordBatch.from_arrays([entities.take(pa.array(who)), self.items.take(pa.array(hits)), pa.array(values)], names=names)
+
+        held = 0
+        for i, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)):
+            known = own[lo:hi][own[lo:hi] >= 0]
+            if len(known):
+                best = self._best(known)
+                hit = np.flatnonzero(best > -np.inf)
+                got.append((i, hit, best[hit]))
+                held += len(hit)
+            if held >= ROWS_OUT:
+                yield hand_on()
+                held = 0
+        if got:
+            yield hand_on()
+
+
+def best_similar(owned: DataFrame, similar: DataFrame, entity: str, item: str, value: str, held: int = PAIRS_HELD) -> DataFrame:
+    """(entity, item, value): of each entity and item, the largest value of a pair (owned item, item); no row without such a pair.
+
+    owned: entity, item; repeats count once, nulls not at all. similar: item_a, item_b, value, each ordered pair once; nulls don't count.
+    A join has a row for every item similar to every owned one. Here items are cut into blocks of some ``held`` pairs and entities into
+    buckets; a task holds the pairs of one block and lets the lists of one bucket run past, so each result row is made once.
+    Entities' lists are bounded by the number of items.
+    """
+    kind, unit = owned.schema[entity].dataType.simpleString(), similar.schema["item_a"].dataType.simpleString()
+    pairs = similar.select(F.col("item_a").alias("x"), F.col("item_b").cast(unit).alias("y"), F.col(value).cast("double").alias("v")).dropna()
+    lists = owned.select(F.col(entity).alias("e"), F.col(item).cast(unit).alias("i")).dropna().groupBy("e").agg(F.collect_set("i").alias("items"))
+    pairs, lists = materialized(pairs, "pairs"), materialized(lists, "owned")
+    n, entries, tasks = pairs.count(), lists.agg(F.sum(F.size("items"))).first()[0] or 0, python_partitions(owned)
+    # pairs move once a bucket, lists once a block; a pair takes some four times the bytes of a list's entry
+    buckets = min(tasks, max(1, round(sqrt(tasks * entries / (4 * max(n, 1))))))
+    blocks = max(ceil(tasks / buckets), ceil(n / held))
+
+    def numbers(k: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+
+    def place(c: str, k: int):
+        return F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+
+    p = pairs.select(place("y", blocks).alias("block"), numbers(buckets).alias("bucket"), F.lit(0).alias("part"), "x", "y", "v")
+    o = lists.select(numbers(blocks).alias("block"), place("e", buckets).alias("bucket"), F.lit(1).alias("part"), "e", "items")
+    names = [entity, item, value]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The block's pairs, then the bucket's lists."""
+        parts, block = [], None
+        for rb in batches:
+            k = int((rb.column("part").to_numpy() == 0).sum())
+            if k:
+                parts.append(rb.slice(0, k))
+            if k < len(rb) and parts:
+                block = block or _Block(parts)
+                lists = rb.slice(k)
+                yield from block.rows(lists.column("e"), lists.column("items"), names)
+
+    return (
+        p.unionByName(o, allowMissingColumns=True)
+        .repartitionById(blocks * buckets, F.col("block") * buckets + F.col("bucket"))
+        .sortWithinPartitions("part")
+        .mapInArrow(scan, f"`{entity}` {kind}, `{item}` {unit}, `{value}` double")
+    )

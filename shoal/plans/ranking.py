@@ -11,7 +11,7 @@ from shoal.operators.contracts import Contract, answered_only
 from shoal.operators.features import hash_fold
 from shoal.operators.joins import co_occurrence
 from shoal.operators.models import balanced_weights, boosted_scores, boosted_values, out_of_fold, temporal_split, threshold_search
-from shoal.operators.ranking import diverse_by_history, top_k
+from shoal.operators.ranking import best_similar, diverse_by_history, top_k
 from shoal.plans.registry import Registry, table
 
 query = Registry()
@@ -254,11 +254,10 @@ def diverse_slates(spark: SparkSession, d: str) -> DataFrame:
     SELECT customer_id, y AS item, round(max(sim), 6) AS best FROM m JOIN s USING (x) GROUP BY 1, 2""",
 )
 def similar_items_score(spark: SparkSession, d: str) -> DataFrame:
-    tx = table(spark, d, "sf_transactions").filter("quantity > 0").select("invoice", "customer_id", F.upper(strip("stock_code")).alias("x"))
-    p = co_occurrence(tx, "invoice", "x")
-    sim = p.select(F.col("item_a").alias("x"), F.col("item_b").alias("item"), (F.col("n_ab") / F.sqrt((F.col("n_a") + 5.0) * (F.col("n_b") + 5.0))).alias("sim"))
-    mine = tx.filter(F.col("customer_id").isNotNull()).select("customer_id", "x").distinct()
-    return mine.join(sim, "x").groupBy("customer_id", "item").agg(F.round(F.max("sim"), 6).alias("best"))
+    tx = table(spark, d, "sf_transactions").filter("quantity > 0").select("invoice", "customer_id", F.upper(strip("stock_code")).alias("item"))
+    # the largest of rounded values is the largest rounded
+    best = F.round(F.col("n_ab") / F.sqrt((F.col("n_a") + 5.0) * (F.col("n_b") + 5.0)), 6)
+    return best_similar(tx, co_occurrence(tx, "invoice", "item").select("item_a", "item_b", best.alias("best")), "customer_id", "item", "best")
 
 
 # ---------------------------------------------------------------- contracts

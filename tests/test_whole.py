@@ -9,7 +9,7 @@ from math import log1p, sqrt
 import pandas as pd
 
 import __spark_entry__ as entry
-from shoal.operators.ranking import diverse_by_history
+from shoal.operators.ranking import best_similar, diverse_by_history
 
 
 def sales(tmp_path, seed=3, invoices=60, items=12, customers=9):
@@ -51,6 +51,31 @@ def test_similar_items_score_of_every_customer(spark, tmp_path):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
+def test_similar_items_are_not_joined(spark, tmp_path):
+    # a join of owned items and pairs has a row for each item similar to each owned one: 1.7 billion over a million sales
+    sales(tmp_path)
+    plan = entry.queries()["similar_items_score"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_best_similar_in_blocks_and_buckets(spark):
+    rnd = random.Random(4)
+    owned = [(rnd.choice("uvw") * rnd.randrange(1, 9), rnd.randrange(40)) for _ in range(300)] + [("lone", 99), ("lone", None), (None, 3)]
+    sparse = {(a, b): rnd.random() for a in range(40) for b in range(60) if rnd.random() < 0.1}
+    dense = {(a, b): 0.0 if b == 7 else rnd.random() for a in range(40) for b in range(60) if a != b}
+    o = spark.createDataFrame(owned, "who string, i long")
+    for pairs in (sparse, dense, {}):
+        similar = spark.createDataFrame([(a, b, v) for (a, b), v in pairs.items()], "item_a long, item_b long, v double")
+        want = defaultdict(lambda: -1.0)
+        for w, x in owned:
+            for (a, b), v in pairs.items():
+                if w and a == x:
+                    want[w, b] = max(want[w, b], v)
+        for held in (50, 10_000):
+            got = best_similar(o, similar, "who", "i", "v", held=held).collect()
+            assert len(got) == len(want) and {(r["who"], r["i"]): r["v"] for r in got} == want
+
+
 def test_diverse_slates_out_of_all_items(spark, tmp_path):
     lines = [x for x in sales(tmp_path, seed=5, invoices=1500, items=180, customers=4) if x[1]]
     n, both = pair_counts(lines)
