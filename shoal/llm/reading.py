@@ -6,7 +6,7 @@ word lists: how widespread a word is comes from the document frequencies of the
 size; whether a text is English, from models of letter triples learned from the documents' own language labels and from the
 labelled documents, which are English.
 
-The trees are fitted on a bounded sample of the labelled documents, in parallel folds that leave whole sources out.
+Both are counted over all documents, in one pass. The trees are fitted on all labelled documents, in parallel folds that leave whole sources out.
 Each source's out-of-fold predictions are calibrated (isotonic regression) on those of the others. Every document
 comes out, with a level or the reason why it has none.
 """
@@ -21,13 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents the trees are fitted on, at most; taken in hash order of their ids.
-MAX_LABELS = 4000
-#: Documents with a language label that the letter models are fitted on, at most for each language, and languages at most.
-MAX_LANG, LANGUAGES = 400, 12
 MIN_LABELS = 5
 #: Folds of sources, fitted in parallel.
 FOLDS = 10
@@ -191,72 +187,142 @@ def _features_by_batch(batches: Iterator[pd.DataFrame], lexicon: Lexicon) -> Ite
         yield pdf, x, reason
 
 
-def word_spread(docs: DataFrame) -> np.ndarray:
-    """Log share of all documents that hold a word of each bucket: one pass over the corpus, and as many rows as there are buckets."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}'’-]+"))
-    hit = docs.filter("text IS NOT NULL").select(F.explode(words).alias("w")).select(F.crc32(F.col("w").cast("binary")).bitwiseAND(F.lit((1 << DF_BITS) - 1)).alias("b"))
-    got = hit.groupBy("b").agg(F.count("*").alias("n")).toPandas()
+def _counted(docs: DataFrame, english: DataFrame | None = None) -> pd.DataFrame:
+    """(what, lang, k, n): all counts that a lexicon needs, of all documents, in one pass.
+
+    what is 'documents' (n of them with text), 'spread' (n documents hold a word of bucket k; words of one bucket add up), 'triples' (n letter
+    triples of bucket k in the texts of lang) or 'letters' (n letters of code k in them, a blank a word). Languages are the first two letters of
+    the labels in ``lang`` (case and blanks aside); labels may be wrong at times. english: (doc_id) documents known to be English, whatever
+    their label. There are 2^DF_BITS rows, 2^TRIPLE_BITS a language and one a letter at most; codes of two letters bound the languages.
+    """
+    rows = docs.filter("text IS NOT NULL")
+    code = F.lower(F.substring(F.trim("lang"), 1, 2)) if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = rows.select("doc_id", "text", F.when(code.rlike("^[a-z]{2}$"), code).alias("_l"))
+    if english is None:
+        rows = rows.withColumns({"_l": F.lit(None).cast("string"), "_en": F.lit(False)})
+    else:
+        # the table of labels, one id each
+        taught = english.select("doc_id").distinct().withColumn("_en", F.lit(True))
+        rows = rows.join(F.broadcast(taught), "doc_id", "left").withColumn("_en", F.coalesce("_en", F.lit(False)))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        documents, spread, letters = 0, np.zeros(1 << DF_BITS, np.int64), Counter()
+        triples: dict[str, np.ndarray] = {}
+        holders: Counter = Counter()
+        met: dict[str, Counter] = {}
+
+        def settle() -> None:
+            """Words held to counts of fixed size."""
+            for w, k in holders.items():
+                spread[_bucket(w)] += k
+            holders.clear()
+            for lang, words in met.items():
+                t = triples.setdefault(lang, np.zeros(1 << TRIPLE_BITS, np.int64))
+                for w, k in words.items():
+                    if w:
+                        for b in _triples(w):
+                            t[b] += k
+                        for ch in f" {w}":
+                            letters[ch] += k
+            met.clear()
+
+        for pdf in batches:
+            for text, lang, en in zip(pdf["text"], pdf["_l"], pdf["_en"]):
+                documents += 1
+                words = _TOKEN.findall(text.lower())
+                holders.update(set(words))
+                for known in {lang, "en" if en else None} - {None}:
+                    met.setdefault(known, Counter()).update(words)
+            if len(holders) > WORDS_HELD:
+                holders.pop("", None)
+                settle()
+        holders.pop("", None)
+        settle()
+        yield pd.DataFrame({"what": ["documents"], "lang": [None], "k": [0], "n": [documents]})
+        for what, lang, c in [("spread", None, spread), *(("triples", lang, c) for lang, c in triples.items())]:
+            k = np.flatnonzero(c)
+            yield pd.DataFrame({"what": what, "lang": lang, "k": k, "n": c[k]})
+        yield pd.DataFrame({"what": "letters", "lang": None, "k": list(map(ord, letters.keys())), "n": list(letters.values())})
+
+    got = rows.select("text", "_l", "_en").mapInPandas(count, "what string, lang string, k long, n long")
+    return got.groupBy("what", "lang", "k").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _spread(got: pd.DataFrame) -> np.ndarray:
     n = np.zeros(1 << DF_BITS)
-    n[got["b"].to_numpy(int)] = got["n"]
-    total = max(docs.filter("text IS NOT NULL").count(), 1)
+    own = got[got["what"] == "spread"]
+    n[own["k"].to_numpy(int)] = own["n"]
+    total = max(int(got.loc[got["what"] == "documents", "n"].sum()), 1)
     return np.log(np.minimum((n + 0.5) / (total + 0.5), 1.0))
 
 
-def letter_models(docs: DataFrame, english: DataFrame, max_lang: int = MAX_LANG) -> np.ndarray:
-    """A row a language, English first: log-likelihood ratio of every hashed letter triple against its letters met at random.
+def _hadamard(x: np.ndarray) -> np.ndarray:
+    h = 1
+    while h < len(x):
+        y = x.reshape(-1, 2, h)
+        x = np.stack([y[:, 0] + y[:, 1], y[:, 0] - y[:, 1]], 1).reshape(-1)
+        h *= 2
+    return x
+
 
-    Languages are the first two letters of the labels in ``lang`` (case and blanks aside); labels may be wrong at times. english: (doc_id)
-    documents known to be English. At most ``max_lang`` documents a language teach, in hash order of their ids, and at most LANGUAGES languages.
+def _at_random(p: dict[str, float]) -> np.ndarray:
+    """Share of each bucket among triples of letters drawn with shares p, all triples counted.
+
+    The digest of a triple is the exclusive or of its letters' digests, each at its place among zero bytes, so the shares are a convolution.
     """
-    known = english.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_lang).withColumn("_l", F.lit("en"))
-    if "lang" in docs.columns:
-        code = F.lower(F.substring(F.trim("lang"), 1, 2))
-        said = docs.filter(code.rlike("^[a-z]{2}$")).select("doc_id", code.alias("_l"))
-        few = [r[0] for r in said.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(LANGUAGES).collect()]
-        order = F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("doc_id"), "doc_id"))
-        known = known.unionByName(said.filter(F.col("_l").isin(few)).withColumn("r", order).filter(F.col("r") <= max_lang).drop("r")).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter("text IS NOT NULL")
     size = 1 << TRIPLE_BITS
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met: dict[str, Counter] = {}
-        for pdf in batches:
-            for lang, t in zip(pdf["_l"], pdf["text"]):
-                met.setdefault(lang, Counter()).update(_TOKEN.findall(t.lower()))
-        triples = {lang: np.zeros(size, np.int64) for lang in met}
-        letters: dict[str, Counter] = {lang: Counter() for lang in met}
-        for lang, words in met.items():
-            words.pop("", None)
-            for w, k in words.items():
-                np.add.at(triples[lang], _triples(w), k)
-                for ch in f" {w}":
-                    letters[lang][ch] += k
-        rows = [(lang, c.tolist(), list(letters.get(lang, {}).keys()), list(letters.get(lang, {}).values())) for lang, c in triples.items()]
-        yield pd.DataFrame(rows, columns=["lang", "triples", "letter", "times"])
-
-    # LANGUAGES * max_lang documents at most, and a row a language and task
-    got = rows.coalesce(8).mapInPandas(count, "lang string, triples array<long>, letter array<string>, times array<long>").toPandas()
-    total: dict[str, np.ndarray] = {}
-    letters: Counter = Counter()
-    for lang, c, ch, k in zip(got["lang"], got["triples"], got["letter"], got["times"]):
-        total[lang] = total.get(lang, np.zeros(size)) + np.asarray(c, float)
-        letters.update(dict(zip(ch, map(int, k))))
+    by_bytes: dict[int, list[tuple[bytes, float]]] = {}
+    for ch, share in p.items():
+        e = ch.encode()
+        by_bytes.setdefault(len(e), []).append((e, share))
+
+    def placed(n: int, before: int, after: int) -> np.ndarray:
+        x = np.zeros(size)
+        for e, share in by_bytes[n]:
+            x[zlib.crc32(bytes(before) + e + bytes(after)) & (size - 1)] += share
+        return _hadamard(x)
+
+    out = np.zeros(size)
+    for a in by_bytes:
+        for b in by_bytes:
+            for c in by_bytes:
+                out += placed(a, 0, b + c) * placed(b, a, c) * placed(c, a + b, 0)
+    return np.maximum(_hadamard(out) / size, 0)
+
+
+def _letters(got: pd.DataFrame) -> np.ndarray:
+    own = got[got["what"] == "letters"]
+    n = own["n"].to_numpy(float)
     # what a bucket's triples would come to if letters were met at random
-    p = {ch: k / sum(letters.values()) for ch, k in letters.items()}
-    random = np.full(size, 1e-9)
-    common = sorted(p, key=lambda ch: (-p[ch], ch))[:48]
-    for a in common:
-        for b in common:
-            for c in common:
-                random[zlib.crc32(f"{a}{b}{c}".encode()) & (size - 1)] += p[a] * p[b] * p[c]
-    names = ["en", *sorted(set(total) - {"en"})]
+    random = 1e-9 + _at_random(dict(zip(map(chr, own["k"]), n / max(n.sum(), 1))))
+    own = got[got["what"] == "triples"]
     out = []
-    for lang in names:
-        c = total.get(lang, np.zeros(size))
+    for lang in ["en", *sorted(set(own["lang"]) - {"en"})]:
+        c, t = np.zeros(1 << TRIPLE_BITS), own[own["lang"] == lang]
+        c[t["k"].to_numpy(int)] = t["n"]
         out.append(np.log(0.8 * c / max(c.sum(), 1) / random + 0.2))
     return np.array(out)
 
 
+def word_spread(docs: DataFrame) -> np.ndarray:
+    """Log share of all documents that hold a word of each bucket."""
+    return _spread(_counted(docs))
+
+
+def letter_models(docs: DataFrame, english: DataFrame) -> np.ndarray:
+    """A row a language, English first: log-likelihood ratio of every hashed letter triple against its letters met at random.
+
+    All documents with a label in ``lang`` teach, and those of english: (doc_id).
+    """
+    return _letters(_counted(docs, english))
+
+
+def learned_lexicon(docs: DataFrame, english: DataFrame) -> Lexicon:
+    """word_spread and letter_models of one pass over the documents."""
+    got = _counted(docs, english)
+    return Lexicon(_spread(got), _letters(got))
+
+
 class Trees:
     """Gradient-boosted regression trees of fixed depth on binned features, squared loss."""
 
@@ -265,7 +331,7 @@ class Trees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         self.edges = [np.unique(np.percentile(x[:, j], np.linspace(0, 100, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        b = self._bin(x)
+        b = np.asfortranarray(self._bin(x))
         self.base = float(y.mean())
         pred = np.full(len(y), self.base)
         self.trees = []
@@ -340,16 +406,16 @@ class ReadingModel:
         return np.clip(np.interp(self.trees.predict(x), *self.knots), 1.0, 5.0)
 
 
-def fit_reading_model(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> ReadingModel | None:
-    """Fit on at most ``max_labels`` labelled documents; None with fewer than MIN_LABELS usable ones.
+def fit_reading_model(docs: DataFrame, labels: DataFrame) -> ReadingModel | None:
+    """Fit on all labelled documents; None with fewer than MIN_LABELS usable ones.
 
     Several labels of a document count as their mean. Labels of documents that don't look English don't count. ``folds`` has each fitted
-    document's source, label, out-of-fold prediction, and level by a calibration that has not seen its fold.
+    document's source, label, out-of-fold prediction, and level by a calibration that has not seen its fold. Labels are given by hand:
+    their table is broadcast, and the FEATURES of labelled documents reach the driver and the task of each fold.
     """
     means = labels.filter("doc_id IS NOT NULL AND band IS NOT NULL").groupBy("doc_id").agg(F.avg("band").alias("band"))
-    means = means.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    lexicon = Lexicon(word_spread(docs), letter_models(docs, means))
-    # max_labels rows at most
+    lexicon = learned_lexicon(docs, means)
+    # the table of labels
     rows = docs.select("doc_id", "text", "source").join(F.broadcast(means), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,7 +453,7 @@ def fit_reading_model(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_
                     yield pd.DataFrame({"fold": [k], "got": [pickle.dumps(Trees().fit(x[train], y[train]).predict(x[test]))]})
 
     spark = docs.sparkSession
-    # one task a fold; the closure holds max_labels rows of features at most
+    # one task a fold; the closure holds a row of features a label
     fitted = spark.range(folds + 1, numPartitions=folds + 1).mapInPandas(fit, "fold long, got binary").collect()
     by = {r["fold"]: pickle.loads(bytes(r["got"])) for r in fitted}
     held = np.full(len(y), np.nan)

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -219,3 +220,37 @@ def test_one_index_for_many_items(spark):
         assert {r["doc_id"] for r in leaked_items(docs, items, words=3, index=index).collect()} == want
     near = near_items(docs, spark.createDataFrame([("q", "d x missing")], "item_id string, text string"), need=2, span=10, index=index)
     assert [tuple(r) for r in near.collect()] == [(2, "q", 6)]
+
+
+def test_letter_models_count_every_document_and_language(spark):
+    rnd = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñåøæœабвгдежзиклмнопрстуф"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 6)))
+    langs = ["en"] * 30 + ["de"] * 12 + [a + "x" for a in "abcdefghijklmno"]
+    rows = [(i, f"{word()} {word()}.", rnd.choice(langs)) for i in range(1500)] + [(5000, "zq zq", None), (5001, None, "de"), (5002, "xx yy", " FR-fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    count, met = {}, Counter()
+    size = 1 << 15
+    for i, t, lang in rows:
+        for code in {"en"} if i == 5000 else {lang.strip().lower()[:2], "en"} if i < 10 else {lang.strip().lower()[:2]}:
+            c = count.setdefault(code, np.zeros(size))
+            for w in (t or "").strip(".").split():
+                s = f" {w} "
+                met.update(s[:-1])
+                for k in range(len(s) - 2):
+                    c[zlib.crc32(s[k : k + 3].encode()) & (size - 1)] += 1
+    p = {ch: k / sum(met.values()) for ch, k in met.items()}
+    assert len(p) > 55 and len(count) > 15 and max(Counter(lang for _, _, lang in rows).values()) > 400
+    by_chance = np.full(size, 1e-9)
+    for a, b, c in itertools.product(p, repeat=3):
+        by_chance[zlib.crc32(f"{a}{b}{c}".encode()) & (size - 1)] += p[a] * p[b] * p[c]
+    want = np.array([np.log(0.8 * count[x] / max(count[x].sum(), 1) / by_chance + 0.2) for x in ["en", *sorted(set(count) - {"en"})]])
+    got = letter_models(docs.repartition(5), docs.filter("doc_id < 10 OR doc_id = 5000").select("doc_id"))
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-6)
+
+
+def test_every_label_is_fitted(spark):
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([(i, doc(rnd, i % 2, 3), f"s{i % 4}") for i in range(4100)], "doc_id long, text string, source string")
+    model = fit_reading_model(docs, spark.createDataFrame([(i, 5 if i % 2 else 1) for i in range(4100)], "doc_id long, band int"))
+    assert sorted(model.folds["doc_id"]) == list(range(4100))
